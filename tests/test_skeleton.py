@@ -1,0 +1,5 @@
+import tessera
+
+
+def test_version():
+    assert tessera.__version__
