@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encoding, leaks, mixing, neighbors, splitting, terms
+from tessera.llm import encoding, handwritten, leaks, mixing, neighbors, splitting, terms
 from tessera.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_scored(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classify(table(spark, d, "chunks"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_scored(spark, d).where("found").select("directory", "file_path")
+
+
 def p2_split(spark: SparkSession, d: str) -> DataFrame:
     out = splitting.split_oversized(table(spark, d, "extractions"), table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
     return out
@@ -69,7 +77,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_split, p3_found, p3_knn, p4_found, p4_terms, p6_found, p6_leaks, p6_report, p7_mix, p7_shares, p8_found, p8_repaired)
+    for f in (p1_found, p1_scored, p2_found, p2_split, p3_found, p3_knn, p4_found, p4_terms, p6_found, p6_leaks, p6_report, p7_mix, p7_shares, p8_found, p8_repaired)
 }
 
 _TERMS = """
