@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encoding, handwritten, leaks, mixing, neighbors, splitting, terms
+from tessera.llm import encoding, handwritten, leaks, mixing, neighbors, splitting, syntax, terms
 from tessera.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_terms(spark, d).where("mark IS NOT NULL").select("term", "mark")
 
 
+def p5_judged(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.judged(table(spark, d, "extractions"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "extractions"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_judged(spark, d).where("error IS NOT NULL").select("file_id").distinct()
+
+
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -77,7 +89,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_scored, p2_found, p2_split, p3_found, p3_knn, p4_found, p4_terms, p6_found, p6_leaks, p6_report, p7_mix, p7_shares, p8_found, p8_repaired)
+    for f in (p1_found, p1_scored, p2_found, p2_split, p3_found, p3_knn, p4_found, p4_terms, p5_found, p5_judged, p5_rates, p6_found, p6_leaks, p6_report, p7_mix, p7_shares, p8_found, p8_repaired)
 }
 
 _TERMS = """
