@@ -107,13 +107,22 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     return int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
 
 
-def edit_distance(a: list[int], b: list[int]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int = MAX_EDITS) -> np.ndarray:
+    """Edit distance of each row of a to the same row of b, exact up to `most` and larger than it beyond (banded, all rows at once)."""
+    n, w = a.shape
+    far = np.full(n, most + 1, np.int8)
+    row = {j: np.full(n, j, np.int8) for j in range(min(w, most) + 1)}
+    for i in range(1, w + 1):
+        new: dict[int, np.ndarray] = {}
+        for j in range(max(0, i - most), min(w, i + most) + 1):
+            if j == 0:
+                new[j] = np.full(n, i, np.int8)
+                continue
+            best = row.get(j - 1, far) + (a[:, i - 1] != b[:, j - 1]).astype(np.int8)
+            best = np.minimum(best, row.get(j, far) + 1)
+            new[j] = np.minimum(np.minimum(best, new.get(j - 1, far) + 1), most + 1)
+        row = new
+    return row[w]
 
 
 def scan(index: Index, batch: pd.DataFrame, windows_at_once: int = 100_000) -> Iterator[tuple]:
@@ -131,28 +140,22 @@ def scan(index: Index, batch: pd.DataFrame, windows_at_once: int = 100_000) -> I
         pairs = index.candidates(symbols, starts)
         if not len(pairs):
             return
+        pairs = np.unique(pairs, axis=0)
         d = np.searchsorted(begin, pairs[:, 0], "right") - 1
         item = index.item_of[pairs[:, 1]]
-        best: dict[tuple[int, int], list[int]] = {}
-        shifted = [np.stack([d, item, pairs[:, 0] - pairs[:, 1] + k], 1) for k in range(-MAX_EDITS, MAX_EDITS + 1)]
-        seen = np.unique(np.concatenate(shifted), axis=0)
+        span = np.arange(WINDOW)
+        edits = edit_distances(symbols[pairs[:, :1] + span], index.symbols[pairs[:, 1:] + span])
+        near = np.flatnonzero(edits <= MAX_EDITS)
         ends = np.append(begin[1:], pos)
-        for x, y, diag in seen.tolist():
-            lo = max(begin[x], index.bounds[y] + diag)
-            hi = min(ends[x], index.bounds[y + 1] + diag)
-            if hi <= lo:
-                continue
-            run = longest_run(symbols[lo:hi], index.symbols[lo - diag : hi - diag])
-            e = best.setdefault((x, y), [0, WINDOW])
-            e[0] = max(e[0], run)
-        for (x, y), e in best.items():
-            if e[0] >= WINDOW:
-                e[1] = 0
-            else:
-                for i, j in pairs[(d == x) & (item == y)].tolist():
-                    e[1] = min(e[1], edit_distance(symbols[i : i + WINDOW].tolist(), index.symbols[j : j + WINDOW].tolist()))
-            if e[1] <= MAX_EDITS:
-                yield docs[x], index.ids[y], e[0], e[1]
+        runs: dict[tuple[int, int], list[int]] = {}
+        for x, y, diag in np.unique(np.stack([d[near], item[near], pairs[near, 0] - pairs[near, 1]], 1), axis=0).tolist():
+            lo, hi = max(begin[x], index.bounds[y] + diag), min(ends[x], index.bounds[y + 1] + diag)
+            e = runs.setdefault((x, y), [0, WINDOW])
+            e[0] = max(e[0], longest_run(symbols[lo:hi], index.symbols[lo - diag : hi - diag]))
+        for x, y, e in zip(d[near].tolist(), item[near].tolist(), edits[near].tolist()):
+            runs[x, y][1] = min(runs[x, y][1], e)
+        for (x, y), (run, e) in runs.items():
+            yield docs[x], index.ids[y], run, e
 
     for doc_id, text in zip(batch["doc_id"], batch["text"]):
         s = np.array([get(w, 0) for w in words(text)] + [0], np.int32)
@@ -173,7 +176,7 @@ SCHEMA = "doc_id bigint, item_id bigint, run_words int, edits int"
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, run_words, edits: every document with a window of 12 words within two edits of an item's window.
 
-    edits 0 means an exact run of at least 12 words. Windows that are equal always share all hashes, so exact runs are never missed; edited
+    edits 0 means an exact run of at least 12 words; run_words is the longest exact run on an alignment that was met. Windows that are equal always share all hashes, so exact runs are never missed; edited
     ones are found with the recall REPEATS gives. Items are indexed in blocks of BLOCK_WORDS words, each block broadcast and held
     against all documents: no shuffle, and memory does not grow with either table. NULL ids and texts, and texts shorter than 12 words,
     match nothing; whole texts are searched.
