@@ -73,7 +73,7 @@ def check_status(index: Index, directory: str) -> DataFrame:
 
 def _files(index: Index, directory: str) -> DataFrame:
     f = filetree.files(index.spark, directory, everyfile="true")
-    return f.select(F.col("root").alias("directory"), F.col("rel_path").alias("file_path"), "size", F.decode("content", "UTF-8").alias("text"))
+    return f.select(F.col("root").alias("directory"), F.col("rel_path").alias("file_path"), "size", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def get_context(index: Index, directory: str) -> dict:
