@@ -1037,6 +1037,8 @@ class Script(Parser):
         while True:
             one()
             if self.take(","):
+                if self.take(">"):
+                    return
                 continue
             if self.take(">"):
                 return
@@ -1082,6 +1084,8 @@ class Script(Parser):
             self.i += 1
         if self.take("typeof"):
             self.name()
+            if self.at("("):
+                self.i = self.t.mate[self.i] + 1
             while self.take("."):
                 self.name()
         elif self.k in ("str", "num"):
@@ -2265,8 +2269,8 @@ _DIRECTIVES = {"include", "define", "undef", "if", "ifdef", "ifndef", "elif", "e
 _COMMENTS = re.compile(r"/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*")
 
 
-def c_lines(text: str) -> str:
-    """Text without its preprocessor lines; of conditional groups the first branch stays."""
+def c_lines(text: str, branch: int = 0) -> str:
+    """Text without its preprocessor lines; of conditional groups the first branch stays, or what follows it if branch is 1."""
     masked = _COMMENTS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0].startswith("/*") else m[0], text)
     out, last, depth, skip = [], 0, [], 0
     for m in _DIRECTIVE.finditer(masked):
@@ -2278,10 +2282,11 @@ def c_lines(text: str) -> str:
         last = m.end()
         if word in ("if", "ifdef", "ifndef"):
             depth.append(skip)
+            skip = max(skip, branch)
         elif word in ("else", "elif"):
             if not depth:
                 raise Bad("directive")
-            skip = 1
+            skip = max(depth[-1], 1 - branch)
         elif word == "endif":
             if not depth:
                 raise Bad("directive")
@@ -2702,6 +2707,11 @@ PARSERS = {"js": Script, "ts": Script, "java": Java, "go": Go, "c": C}
 
 def check(lang: str, text: str) -> None:
     """Raises Bad where text is not valid in lang."""
-    if lang == "c":
-        text = c_lines(text)
-    PARSERS[lang](Tokens(lang, text)).program()
+    if lang != "c":
+        return PARSERS[lang](Tokens(lang, text)).program()
+    try:
+        return C(Tokens(lang, c_lines(text))).program()
+    except Bad:
+        if not re.search(r"^[ \t]*#[ \t]*if", text, re.M):
+            raise
+        return C(Tokens(lang, c_lines(text, 1))).program()

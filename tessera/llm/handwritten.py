@@ -39,6 +39,7 @@ PROJECT_NOTICE = re.compile(
     r"|@licen[cs]e \S+ v?\d|@preserve\b|\S+ v?\d+\.\d+(?:\.\d+)?(?: \||[ \t]*(?:\*/)?[ \t]*$)|permission is (?:hereby )?granted\b|licensed under the\b).*$",
     re.I | re.M,
 )
+_TOOL_LINE, _PROJECT_LINE = (re.compile(p.pattern + r"(?:\r?\n)?", re.I | re.M) for p in (TOOL_NOTICE, PROJECT_NOTICE))
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*")
 _COMMENT = re.compile(r"^[ \t]*(?://|#(?!include|define|if|endif|else|undef|pragma)|\*|/\*|--).*$|\"\"\"[\s\S]*?\"\"\"|/\*[\s\S]*?\*/", re.M)
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\b0[xX][0-9a-fA-F]+\b|-?\b\d[\d.eE+-]*\b")
@@ -54,7 +55,7 @@ def measures(text: str) -> list:
     """Additive measures of one chunk (sums, maxima, minima), without its notices."""
     tool, project = TOOL_NOTICE.search(text) is not None, PROJECT_NOTICE.search(text) is not None
     if tool or project:
-        text = PROJECT_NOTICE.sub("", TOOL_NOTICE.sub("", text))
+        text = _PROJECT_LINE.sub("", _TOOL_LINE.sub("", text))
     raw = text.encode("utf-8", "replace")
     n = len(text)
     tokens = _TOKEN.findall(text)
@@ -153,12 +154,18 @@ def exemplar() -> Column:
     return notice | minified | data | copied
 
 
+def _labels_only(files: DataFrame) -> DataFrame:
+    hit = F.col("label") > 0
+    return files.select("directory", "file_path", hit.alias("label"), F.col("label").alias("score"), hit.alias("found"))
+
+
 def classify(chunks: DataFrame) -> DataFrame:
     """directory, file_path, label (see `exemplar`), score (the forest's, corrected for unlabelled cases), found.
 
-    A file without a label need not be hand-written, so the forest learns the label on at most SAMPLE_PER_CLASS files of each class
-    and its probability is divided by the mean it gives to held-out labelled files (learning from positive and unlabelled examples); a file
-    is found when it is labelled or when the corrected score is at least a half. NULL directories are one checkout; chunks without text
+    A file without a label need not be hand-written. So half of the trees learn the label on one half of at most SAMPLE_PER_CLASS files
+    of each class, the others on the other half; every file is scored by the trees that did not see its half, and the probability is
+    divided by the mean that labelled files get this way (learning from positive and unlabelled examples). A file is found when it
+    is labelled or when the corrected score is at least a half. NULL directories are one checkout; chunks without text
     or path take no part; repeated chunks weigh twice in ratios and change nothing else. Where fewer than five files are labelled nothing can be
     learnt and only the labelled ones are found.
     """
@@ -166,17 +173,28 @@ def classify(chunks: DataFrame) -> DataFrame:
     n = {r["label"]: r["count"] for r in files.groupBy("label").count().collect()}
     pos, rest = n.get(1.0, 0), n.get(0.0, 0)
     if pos < 5 or rest < 5:
-        return files.select("directory", "file_path", (F.col("label") > 0).alias("label"), F.col("label").alias("score"), (F.col("label") > 0).alias("found"))
+        return _labels_only(files)
     h = F.pmod(F.xxhash64("directory", "file_path"), F.lit(1 << 20)) / (1 << 20)
-    fold = F.pmod(F.xxhash64(F.lit(SEED), "directory", "file_path"), F.lit(4)) == 0
     share = F.when(F.col("label") > 0, min(1.0, SAMPLE_PER_CLASS / pos)).otherwise(min(1.0, SAMPLE_PER_CLASS / rest))
-    vec = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    ready = vec.transform(files)
-    sample = ready.where(h < share).select("features", "label", fold.alias("held")).coalesce(2).persist()
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=2, subsamplingRate=0.8, seed=SEED, maxBins=32, featureSubsetStrategy="0.4").fit(sample.where("NOT held"))
-    proba = lambda df: forest.transform(df).withColumn("p", vector_to_array("probability")[1])
-    c = proba(sample.where("held AND label > 0")).agg(F.avg("p")).first()[0] or 0.5
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(files.withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED), "directory", "file_path"), F.lit(2))))
+    # a row weighs as many files as it stands for, so that the sample's bound doesn't change the balance of the classes
+    sample = ready.where(h < share).select("features", "label", "fold", (1 / share).alias("weight")).coalesce(2).persist()
+    spec = RandomForestClassifier(numTrees=TREES // 2, maxDepth=DEPTH, minInstancesPerNode=4, subsamplingRate=0.8, seed=SEED, maxBins=32, featureSubsetStrategy="0.4", weightCol="weight")
+    some = lambda k: sample.where(F.col("fold") == k)
+    if some(0).select("label").distinct().count() < 2 or some(1).select("label").distinct().count() < 2:
+        sample.unpersist()
+        return _labels_only(files)
+    forests = [spec.fit(some(k)) for k in (0, 1)]
+
+    def crossed(df: DataFrame) -> DataFrame:
+        """Each row scored by the forest that did not see its fold."""
+        for k, forest in enumerate(forests):
+            forest.setFeaturesCol("features").setPredictionCol(f"_y{k}").setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}")
+            df = forest.transform(df)
+        return df.withColumn("p", F.when(F.col("fold") == 1, vector_to_array("_p0")[1]).otherwise(vector_to_array("_p1")[1]))
+
+    c = crossed(sample).where("label > 0").agg(F.avg("p")).first()[0] or 0.5
     sample.unpersist()
-    scored = proba(ready).withColumn("score", F.least(F.col("p") / F.lit(float(c)), F.lit(1.0)))
+    scored = crossed(ready).withColumn("score", F.least(F.col("p") / F.lit(float(c)), F.lit(1.0)))
     found = (F.col("label") > 0) | (F.col("score") >= 0.5)
     return scored.select("directory", "file_path", (F.col("label") > 0).alias("label"), "score", found.alias("found"))
