@@ -14,7 +14,7 @@ class Bad(Exception):
     """The text is not valid in its language."""
 
 
-_SPACE = r"[ \t\v\f\xa0﻿ -   　]+"
+_SPACE = r"[ \t\v\f\xa0\ufeff\u1680\u2000-\u200a\u202f\u205f\u3000]+"
 _NUM = r"0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?\d+)?[uUlLn]*|0[bB][01_]+[uUlLn]*|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?[uUlLfFdDni]*"
 _ID = r"(?:[^\W\d]|\$)(?:\w|\$)*"
 _OPS = {
@@ -34,9 +34,11 @@ _STR["ts"] = _STR["js"]
 
 
 def _master(lang: str) -> re.Pattern:
-    ident = r"#?" + _ID if lang in ("js", "ts") else _ID
+    js = lang in ("js", "ts")
+    ident = r"#?" + _ID if js else _ID
+    special = r"(?P<tick>`)|(?P<slash>/(?![/*]))|" if js else ""
     return re.compile(
-        rf"(?P<ws>{_SPACE}|\\\r?\n)|(?P<nl>\r\n|[\n\r  ])|(?P<com>//[^\n\r]*|/\*[\s\S]*?\*/)|(?P<str>{_STR[lang]})|(?P<num>{_NUM})|(?P<id>{ident})|(?P<op>{_OPS[lang]})"
+        rf"(?:{_SPACE}|\\\r?\n)*(?:(?P<nl>(?:\r\n|[\n\r\u2028\u2029])\s*)|(?P<id>{ident})|(?P<com>//[^\n\r]*|/\*[\s\S]*?\*/)|{special}(?P<str>{_STR[lang]})|(?P<num>{_NUM})|(?P<op>{_OPS[lang]})|(?P<end>\Z))"
     )
 
 
@@ -94,49 +96,59 @@ class Tokens:
         base = len(self.kind)
         if js and at == 0 and text.startswith("#!"):
             at = len(text.split("\n", 1)[0])
+        kinds, vals, lines = self.kind, self.val, self.nl
+        go = self.lang == "go"
         while at < n:
-            c = text[at]
-            if js and c == "`":
-                at = self.template(at, nl)
-                nl = False
-                continue
-            if js and c == "/" and text[at + 1 : at + 2] not in ("/", "*"):
-                k = self.kind[-1] if len(self.kind) > base else "op"
-                v = self.val[-1] if len(self.val) > base else "("
-                if (k == "op" and v not in (")", "]", "}", "++", "--")) or (k == "id" and v in _BEFORE_REGEX):
-                    m = _REGEX.match(text, at)
-                    if not m:
-                        raise Bad("regular expression")
-                    self.add("str", m[0], nl)
-                    at, nl = m.end(), False
-                    continue
             m = match(text, at)
             if not m:
-                raise Bad(f"character {c!r}")
-            g, v = m.lastgroup, m[0]
-            if g == "ws":
-                at = m.end()
+                raise Bad(f"character {text[at]!r}")
+            g = m.lastgroup
+            if g == "nl":
+                if go:
+                    self.semicolon()
+                at, nl = m.end(), True
                 continue
-            if g == "nl" or g == "com":
-                if g == "nl" or "\n" in v:
-                    if self.lang == "go":
+            if g == "end":
+                at = n
+                break
+            v = m[g]
+            if g == "com":
+                if "\n" in v:
+                    if go:
                         self.semicolon()
                     nl = True
                 at = m.end()
                 continue
-            if self.lang == "c" and c == "#" or c == "#" and g is None:
-                raise Bad("#")
-            if inner and g == "op":
-                if v == "{":
-                    depth += 1
-                elif v == "}":
-                    if depth == 0:
-                        return at
-                    depth -= 1
-            self.add(g, v, nl)
-            if g == "num" and m.end() < n and (text[m.end()].isalnum() or text[m.end()] == "_"):
+            if g == "tick":
+                at, nl = self.template(m.start(g), nl), False
+                continue
+            if g == "slash":
+                k, before = (kinds[-1], vals[-1]) if len(kinds) > base else ("op", "(")
+                start = m.start(g)
+                if (k == "op" and before not in (")", "]", "}", "++", "--")) or (k == "id" and before in _BEFORE_REGEX):
+                    r = _REGEX.match(text, start)
+                    if not r:
+                        raise Bad("regular expression")
+                    self.add("str", r[0], nl)
+                    at, nl = r.end(), False
+                    continue
+                g, v = "op", "/=" if text.startswith("/=", start) else "/"
+                at = start + len(v)
+            else:
+                at = m.end()
+                if inner and g == "op":
+                    if v == "{":
+                        depth += 1
+                    elif v == "}":
+                        if depth == 0:
+                            return at - 1
+                        depth -= 1
+            kinds.append(g)
+            vals.append(v)
+            lines.append(nl)
+            if g == "num" and at < n and (text[at].isalnum() or text[at] == "_"):
                 raise Bad("number")
-            at, nl = m.end(), False
+            nl = False
         if self.lang == "go":
             self.semicolon()
         if inner:

@@ -18,8 +18,8 @@ REPEATS = 8  # hashes; one edit in a window is met with 0.88, an exact window al
 MAX_EDITS = 2
 BLOCK_WORDS = 2_000_000  # words of evaluation text indexed at once (about 0.2 GB); more are treated in several passes
 SEED = 20
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e0fff]")
-_MARK = re.compile("[̀-ͯ҃-҇]")
+_INVISIBLE = re.compile("[\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
+_MARK = re.compile("[\u0300-\u036f\u0483-\u0487]")
 _WORD = re.compile(r"[^\W_]+")
 
 
