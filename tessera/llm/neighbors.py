@@ -20,7 +20,7 @@ MIN_PROBED = 12
 SAMPLE = 60_000  # vectors k-means is fitted on, at most
 BLOCKS = (32, 48)  # dimensions after which the hypothesis test is made; the last block completes the distance
 EPSILON = 1.7  # strictness of the test: a true neighbour is lost with a probability below exp(-c * EPSILON**2)
-GROUP_QUERIES = 12_000  # vectors that one task searches for
+GROUP_QUERIES = 30_000  # vectors that one task searches for
 SEED = 33
 
 
@@ -59,6 +59,21 @@ def unit_bytes(frame: pd.DataFrame, turn: np.ndarray) -> np.ndarray:
     return (x @ turn).astype(np.float32)
 
 
+DENSE = 0.03  # share of surviving pairs above which the next column block is multiplied as a whole
+
+
+class Candidates:
+    """One block of candidate vectors with the halved squared lengths of their leading dimensions, made once for all homes."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, first: int = 0):
+        self.x, self.ids = x, ids
+        self.first = first  # number of the first candidate within the task; results keep numbers
+        self.half = {d: 0.5 * (x[:, :d] ** 2).sum(1) for d in BLOCKS if d < x.shape[1]}
+        d = next(iter(self.half), x.shape[1])
+        length = self.half.get(d, np.zeros(len(x), np.float32))
+        self.lead = np.ascontiguousarray(np.concatenate([x[:, :d], -length[:, None]], 1).T)  # the length rides along in the product
+
+
 class Searcher:
     """Running top k of the vectors of one group while candidate lists stream past."""
 
@@ -72,68 +87,86 @@ class Searcher:
         order = np.argsort(np.array(self.lists), kind="stable")
         self.q = np.stack(self.vecs)[order]
         self.qid = np.array(self.ids, object)[order]
-        l = np.array(self.lists)[order]
-        cuts = np.flatnonzero(np.diff(l)) + 1
-        self.span = {int(l[a]): (int(a), int(b)) for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(l)])}
-        self.top = np.full((len(l), self.k), -2.0, np.float32)
-        self.who = np.full((len(l), self.k), None, object)
-
-    def scan(self, home: int, cand: np.ndarray, cand_ids: np.ndarray) -> None:
+        at = np.array(self.lists)[order]
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        self.span = {int(at[a]): (int(a), int(b)) for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)])}
+        self.top = np.full((len(at), self.k), -2.0, np.float32)
+        self.who = np.full((len(at), self.k), -1, np.int64)
+        self.half = {d: 0.5 * (self.q[:, :d] ** 2).sum(1) for d in BLOCKS if d < self.dim}
+        d = next(iter(self.half), self.dim)
+        self.lead = np.concatenate([self.q[:, :d], np.ones((len(self.q), 1), np.float32)], 1)
+        self.vecs, self.ids, self.lists = [], [], []
+
+    def scan(self, home: int, c: Candidates) -> None:
         """Score one block of candidates for the vectors of one home list.
 
         On unit vectors the squared distance over the first d rotated dimensions, scaled by dim/d, estimates the full one; a pair is
-        abandoned once it exceeds the k-th best distance so far by the factor (1 + EPSILON / sqrt(d)) ** 2.
+        abandoned once it exceeds the k-th best distance so far by the factor (1 + EPSILON / sqrt(d)) ** 2. Written with the dot product: it
+        lives while dot - |c|^2/2 >= |q|^2/2 - bound/2.
         """
         a, b = self.span[home]
-        q, worst = self.q[a:b], self.top[a:b].min(1)
-        limit = np.maximum(2 - 2 * worst, 1e-6)
-        d0 = 0
-        alive = None
-        for d in BLOCKS:
-            if d >= self.dim:
-                break
-            if alive is None:
-                dot = q[:, :d] @ cand[:, :d].T
-                part = (q[:, :d] ** 2).sum(1)[:, None] + (cand[:, :d] ** 2).sum(1)[None, :] - 2 * dot
-                i, j = np.nonzero(part * (self.dim / d) <= (limit * (1 + EPSILON / d**0.5) ** 2)[:, None])
-                alive = (i, j, dot[i, j])
+        q, cand = self.q[a:b], c.x
+        worst = self.top[a:b].min(1)
+        if worst.max() < -1:  # nothing to compare with yet: the k best of the whole block are the start
+            dot = q @ cand.T
+            near = min(self.k + 1, len(cand))
+            j = np.argpartition(-dot, near - 1, axis=1)[:, :near].ravel()
+            i = np.repeat(np.arange(b - a), near)
+            return self.merge(a, i, j, dot[i, j], worst, c)
+        limit = 2 - 2 * worst
+        i = j = score = None
+        done = 0
+        for d in self.half:
+            least = self.half[d][a:b] - (0.5 * d / self.dim * (1 + EPSILON / d**0.5) ** 2) * limit
+            if i is None:
+                part = self.lead[a:b] @ c.lead
+                flat = np.flatnonzero(part >= least[:, None])
+                i, j = np.divmod(flat, len(cand))
+                score = part.ravel()[flat] + c.half[d][j]
             else:
-                i, j, acc = alive
-                acc = acc + np.einsum("nd,nd->n", q[i, d0:d], cand[j, d0:d])
-                nq, nc = (q[:, :d] ** 2).sum(1), (cand[:, :d] ** 2).sum(1)
-                keep = (nq[i] + nc[j] - 2 * acc) * (self.dim / d) <= limit[i] * (1 + EPSILON / d**0.5) ** 2
-                alive = (i[keep], j[keep], acc[keep])
-            d0 = d
-        if alive is None:
+                score += self.block(q, cand, i, j, done, d)
+                keep = score - c.half[d][j] >= least[i]
+                i, j, score = i[keep], j[keep], score[keep]
+            done = d
+        if i is None:
             dot = q @ cand.T
             i, j = np.nonzero(dot > worst[:, None])
             score = dot[i, j]
         else:
-            i, j, acc = alive
-            score = acc + np.einsum("nd,nd->n", q[i, d0:], cand[j, d0:])
+            score = score + self.block(q, cand, i, j, done, self.dim)
+        self.merge(a, i, j, score, worst, c)
+
+    def merge(self, a: int, i: np.ndarray, j: np.ndarray, score: np.ndarray, worst: np.ndarray, c: Candidates) -> None:
         ok = score > worst[i]
         i, j, score = i[ok], j[ok], score[ok]
-        ok = self.qid[a + i] != cand_ids[j]
-        i, j, score = i[ok], j[ok], score[ok]
+        twin = np.flatnonzero(score > 0.999)  # only such a pair can be a vector and itself
+        if len(twin):
+            own = twin[self.qid[a + i[twin]] == c.ids[j[twin]]]
+            i, j, score = np.delete(i, own), np.delete(j, own), np.delete(score, own)
         if not len(i):
             return
         rows = np.unique(i)
-        at = np.searchsorted(rows, i)
-        # merge: old top k of the touched rows and the new candidates, best k of each
-        r = np.concatenate([np.repeat(np.arange(len(rows)), self.k), at])
+        r = np.concatenate([np.repeat(np.arange(len(rows)), self.k), np.searchsorted(rows, i)])
         s = np.concatenate([self.top[a + rows].ravel(), score])
-        w = np.concatenate([self.who[a + rows].ravel(), cand_ids[j]])
+        w = np.concatenate([self.who[a + rows].ravel(), c.first + j])
         order = np.lexsort((-s, r))
         r, s, w = r[order], s[order], w[order]
-        rank = np.arange(len(r)) - np.searchsorted(r, r, "left")
-        sel = rank < self.k
+        sel = np.arange(len(r)) - np.searchsorted(r, r, "left") < self.k
         self.top[a + rows] = s[sel].reshape(-1, self.k)
         self.who[a + rows] = w[sel].reshape(-1, self.k)
 
-    def results(self) -> pa.RecordBatch:
+    def block(self, q: np.ndarray, cand: np.ndarray, i: np.ndarray, j: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Dot products of the pairs over the columns lo to hi: as one product where many pairs live, pair by pair where few do."""
+        if len(i) > DENSE * len(q) * len(cand):
+            return (q[:, lo:hi] @ cand[:, lo:hi].T)[i, j]
+        return np.einsum("nd,nd->n", q[i, lo:hi], cand[j, lo:hi])
+
+    def results(self, seen: list[np.ndarray]) -> pa.RecordBatch:
+        """seen: the ids of the task's candidates in the order of their numbers."""
         i, j = np.nonzero(self.top > -2)
+        ids = np.concatenate(seen) if seen else np.zeros(0, object)
         return pa.RecordBatch.from_arrays(
-            [pa.array(self.qid[i], pa.string()), pa.array(self.who[i, j], pa.string()), pa.array(self.top[i, j].astype(np.float64)), pa.array((j + 1).astype(np.int32))],
+            [pa.array(self.qid[i], pa.string()), pa.array(ids[self.who[i, j]], pa.string()), pa.array(self.top[i, j].astype(np.float64)), pa.array((j + 1).astype(np.int32))],
             names=["id", "other_id", "score", "rank"],
         )
 
@@ -213,13 +246,18 @@ def neighbors(points: DataFrame, k: int = K, dim: int = 64, probed: float = PROB
         s, task, current, closed = None, None, None, False
         vecs: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        seen: list[np.ndarray] = []
+        count = 0
 
         def flush() -> None:
+            nonlocal count
             if current is not None and vecs and s is not None and closed:
-                x, who = np.concatenate(vecs), np.concatenate(ids)
+                block = Candidates(np.concatenate(vecs), np.concatenate(ids), count)
+                seen.append(block.ids)
+                count += len(block.ids)
                 for home in probed_by[current]:
                     if home in s.span:
-                        s.scan(home, x, who)
+                        s.scan(home, block)
             vecs.clear()
             ids.clear()
 
@@ -232,7 +270,8 @@ def neighbors(points: DataFrame, k: int = K, dim: int = 64, probed: float = PROB
                 if tk[lo] != task:
                     flush()
                     if s is not None and closed:
-                        yield s.results()
+                        yield s.results(seen)
+                    seen, count = [], 0
                     s, task, current, closed = Searcher(k, x.shape[1]), tk[lo], None, False
                 if cd[lo] < 0:
                     s.ids.extend(who[lo:hi])
@@ -249,7 +288,7 @@ def neighbors(points: DataFrame, k: int = K, dim: int = 64, probed: float = PROB
                 ids.append(who[lo:hi])
         flush()
         if s is not None and closed:
-            yield s.results()
+            yield s.results(seen)
 
     return stream.mapInArrow(search, "id string, other_id string, score double, rank int")
 
