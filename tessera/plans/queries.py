@@ -12,6 +12,7 @@ from tessera.functions import embeddings
 from tessera.functions import text as T
 from tessera.operators import chunkers, diff, fusion, lexical, overview, structure, vector
 from tessera.operators import store as S
+from tessera.plans import chunk_sql
 from tessera.session import shared_dir, table
 from tessera.sources import extract, filetree, gitignore, registry
 
@@ -245,19 +246,19 @@ def chunk_by_type(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.chunk(files(spark, d), FILE).withColumn("meta", F.to_json("meta"))
 
 
-@query()
+@query(chunk_sql.exploded("doc_id", "documents WHERE text IS NOT NULL", chunk_sql.recursive("text", 1000, 200)))
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
     pieces = chunkers.recursive(F.col("text"), 1000, 200)
     return table(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("chunk_index", "chunk"))
 
 
-@query()
+@query(chunk_sql.exploded("doc_id", "documents WHERE text IS NOT NULL", chunk_sql.paragraph("text", 1000, 200)))
 def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
     pieces = chunkers.paragraph(F.col("text"), 1000, 200)
     return table(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("chunk_index", "chunk"))
 
 
-@query()
+@query(chunk_sql.exploded("directory, file_path", f"{_FILES_SQL} WHERE text IS NOT NULL AND ends_with(file_path, '.csv')", chunk_sql.csv("text", 800)))
 def chunk_csv(spark: SparkSession, d: str) -> DataFrame:
     rows = files(spark, d).where(F.endswith("file_path", F.lit(".csv")))
     return rows.select(*FILE, F.posexplode(chunkers.csv(F.col("text"), 800)).alias("chunk_index", "chunk"))
@@ -486,7 +487,13 @@ def stream_incremental_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- providers
-@query()
+_BYTES = "list_transform(range(32), lambda i: (CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) - 128) / 128.0)"
+
+
+@query(
+    f"SELECT doc_id, 384 AS dim, 1.0 AS length, round(CAST(CAST(v[1] / sqrt(12 * list_sum(list_transform(v, lambda x: x * x))) AS FLOAT) AS DOUBLE), 6) AS first"
+    f" FROM (SELECT doc_id, {_BYTES} AS v FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL))"
+)
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     v = embeddings.embed(F.col("text"))
     e = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", v.alias("v"))
