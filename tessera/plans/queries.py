@@ -13,7 +13,7 @@ from tessera.functions import text as T
 from tessera.operators import chunkers, diff, fusion, lexical, overview, structure, vector
 from tessera.operators import store as S
 from tessera.plans import chunk_sql
-from tessera.session import shared_dir, table
+from tessera.session import shared_dir, spread, table
 from tessera.sources import extract, filetree, gitignore, registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,13 +249,13 @@ def chunk_by_type(spark: SparkSession, d: str) -> DataFrame:
 @query(chunk_sql.exploded("doc_id", "documents WHERE text IS NOT NULL", chunk_sql.recursive("text", 1000, 200)))
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
     pieces = chunkers.recursive(F.col("text"), 1000, 200)
-    return table(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("chunk_index", "chunk"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(pieces).alias("chunk_index", "chunk"))
 
 
 @query(chunk_sql.exploded("doc_id", "documents WHERE text IS NOT NULL", chunk_sql.paragraph("text", 1000, 200)))
 def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
     pieces = chunkers.paragraph(F.col("text"), 1000, 200)
-    return table(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("chunk_index", "chunk"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(pieces).alias("chunk_index", "chunk"))
 
 
 @query(chunk_sql.exploded("directory, file_path", f"{_FILES_SQL} WHERE text IS NOT NULL AND ends_with(file_path, '.csv')", chunk_sql.csv("text", 800)))
@@ -496,7 +496,7 @@ _BYTES = "list_transform(range(32), lambda i: (CAST('0x' || substr(h, 2 * i + 1,
 )
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     v = embeddings.embed(F.col("text"))
-    e = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", v.alias("v"))
+    e = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", v.alias("v"))
     return e.select("doc_id", F.size("v").alias("dim"), F.round(vector.norm(F.col("v")), 5).alias("length"), F.round(F.col("v")[0].cast("double"), 6).alias("first"))
 
 

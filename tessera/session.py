@@ -60,6 +60,16 @@ def cores(spark: SparkSession) -> int:
     return max(1, int(spark.sparkContext.defaultParallelism))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores, dealt out evenly; others stay as they are, without a shuffle.
+
+    For work that is far more costly than moving its input: a file of one row group is one task otherwise. Give it a scan with
+    filters and a projection, not a plan with exchanges, since the number of partitions is read from the physical plan.
+    """
+    n = cores(scan.sparkSession)
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= n else scan.repartition(n)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
