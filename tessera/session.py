@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,27 @@ def build(master: str | None = None, app: str = "tessera", **conf: str) -> Spark
         b = b.master(master)
     for k, v in {**DEFAULTS, **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hands the package to the Python workers of all executors, once per application, so that they need no installation."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = package_root()
+        name = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+            for base, _, files in os.walk(os.path.join(root, "tessera")):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(base, f)
+                        z.write(full, os.path.relpath(full, root))
+        spark.sparkContext.addPyFile(name)  # served by the driver
+        _shipped.add(app)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
