@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, spread
 
 SLOTS = 8
 SAMPLE_PER_CLASS = 4000  # files the forest is fitted on, at most, per class
@@ -99,7 +99,7 @@ def chunk_measures(chunks: DataFrame) -> DataFrame:
             yield out
 
     code = chunks.where((F.col("content_type") == "code") & (F.length("text") > 0) & F.col("file_path").isNotNull()).select("directory", "file_path", "text")
-    return code.mapInPandas(run, _SCHEMA)
+    return spread(code).mapInPandas(run, _SCHEMA)
 
 
 FEATURES = [

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 WINDOW = 12  # words: the shortest passage that counts
 STEPS = 3 * WINDOW  # length of the random walk
 SAMPLED = 8  # positions of the walk a hash samples
@@ -182,7 +184,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     match nothing; whole texts are searched.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 2 * WINDOW - 2))
+    docs = spread(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 2 * WINDOW - 2)))
     out, block, n = [], [], 0
 
     def against(block: list[tuple[int, str]]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern of the byte-level BPE vocabulary named above.
@@ -56,8 +56,7 @@ def sized(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> Da
     source, NULL and empty texts and sources without a target take no part."""
     keys = F.broadcast(targets.select("source"))
     rows = (
-        documents.select("doc_id", source_key(F.col("source")).alias("source"), "text")
-        .where(F.col("doc_id").isNotNull() & F.col("source").isNotNull() & (F.length("text") > 0))
+        spread(documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").where(F.col("doc_id").isNotNull() & F.col("source").isNotNull() & (F.length("text") > 0)))
         .join(keys, "source")
         .select("doc_id", "source", F.sha2("text", 256).alias("_h"), token_counts(F.col("text"), path).alias("n_tokens"))
     )

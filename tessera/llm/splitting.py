@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
+from tessera.session import spread
 
 #: What a piece may end behind, from strong to weak: blank line, line end, sentence end, white space.
 BOUNDARIES = (r"(?<=\n[ \t]{0,8}\r?\n)", r"(?<=\n)", r"(?<=[.!?;。！？])(?=\s)", r"(?<=\s)")
@@ -70,7 +71,7 @@ def oversized(extractions: DataFrame, chunks: DataFrame, limits: DataFrame) -> D
     lim = F.broadcast(lim.groupBy("_type").agg(F.max("chunk_size").alias("chunk_size"), F.max("chunk_overlap").alias("chunk_overlap")))
     cols = ["directory", "file_path", "content_type", "meta"]
     files = (
-        extractions.select(F.lit("file").alias("item_kind"), F.col("file_id").cast("string").alias("item_id"), *cols, "text")
+        spread(extractions.select(F.lit("file").alias("item_kind"), F.col("file_id").cast("string").alias("item_id"), *cols, "text"))
         .join(lim, kind("content_type") == F.col("_type"))
         .where(F.length("text") > F.col("chunk_size"))
         .withColumn("text", strip(F.col("text")))

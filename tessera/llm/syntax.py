@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import suffix
 from tessera.llm import grammars
+from tessera.session import spread
 
 # Fixed value: suffix -> language judged.
 LANGUAGES = {
@@ -211,7 +212,7 @@ def judged(extractions: DataFrame) -> DataFrame:
                 err.append(judge(g, t, whole))
             yield pd.DataFrame({"file_id": b["file_id"].astype("Int64"), "directory": b["directory"], "language": b["language"], "error": pd.Series(err, dtype=object)})
 
-    small = rows.where(F.length("text") <= PIECE).mapInPandas(short, schema)
+    small = spread(rows.where(F.length("text") <= PIECE)).mapInPandas(short, schema)
     big = rows.where(F.length("text") > PIECE).withColumn("_key", F.xxhash64("file_id", "text"))
     cuts = big.select("_key", "language", "text").dropDuplicates(["_key"]).mapInPandas(cut_up, "_key bigint, language string, no int, piece string")
     parts = cuts.repartition("_key", "no").mapInPandas(summarise, "_key bigint, no int, summary string")
