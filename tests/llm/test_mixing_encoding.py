@@ -69,3 +69,12 @@ def test_operator(spark):
     got = {r["doc_id"]: r["restored"] for r in encoding.garbled(df).collect()}
     assert got == {1: "über die Brücke", 6: "x" * 200_000 + " ändern"}
     assert encoding.garbled(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["laq\xaduelle reste juste", "pré\xadcise tâ\xadche ver\xadändert nã\xado", "Sup­pose a ​folder", "amanhã… été” CAFÉ’S résumé…", "Brand™ © 2020"])
+def test_soft_hyphens_and_quotes_are_clean(text):
+    assert encoding.repair(text)[0] is False
+
+
+def test_lower_cased_afterwards():
+    assert encoding.repair("see the cafã© rã©sumã©â€¦") == (True, "see the café résumé…", 1, True)
