@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,3 +160,23 @@ def render_graph(g: DataFrame) -> str:
 
 def render_context(o: dict) -> str:
     return json.dumps(o, indent=2, ensure_ascii=False)
+
+
+# --- older names ---------------------------------------------------------------------------------------------------------------------
+
+
+def _older(name: str, target: Callable) -> Callable:
+    @functools.wraps(target)
+    def call(*args, **kwargs):
+        warnings.warn(f"{name} is deprecated, use {target.__name__}", DeprecationWarning, stacklevel=2)
+        return target(*args, **kwargs)
+
+    return call
+
+
+search_codebase = _older("search_codebase", search)
+search_codebase_by_file = _older("search_codebase_by_file", search_by_file)
+get_codebase_context = _older("get_codebase_context", get_context)
+collection_stats = _older("collection_stats", stats)
+ingest_current_directory = _older("ingest_current_directory", ingest)
+check_index_status = _older("check_index_status", check_status)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import threading
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +68,36 @@ class Index:
         files = filetree.files(self.spark, directory) if files is None else files
         return diff.changes(diff.manifest(files), self._old_manifest(directory).drop("directory"))
 
-    def ingest(self, directory: str, force: bool = False, include=None, exclude=None, deadline: float | None = None) -> dict:
-        """Brings the index up to date; returns files, failed, chunks, deleted, seconds.
+    def ingest(self, directory: str, force: bool = False, include=None, exclude=None, seconds: float | None = None) -> dict:
+        """Brings the index up to date within `seconds` (the setting's hours by default); see `_ingest`.
+
+        When the time is up the running jobs are cancelled and TimeoutError is raised; readers keep the version they had, and the manifest
+        is not written, so the next run starts over.
+        """
+        sc = self.spark.sparkContext
+        limit = self.settings.ingestion_timeout_hours * 3600 if seconds is None else seconds
+        group, late = f"tessera-ingest-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            sc.cancelJobGroup(group)
+
+        timer = threading.Timer(max(0.0, limit), stop)
+        timer.daemon = True
+        sc.setJobGroup(group, f"ingest {directory}", interruptOnCancel=True)
+        timer.start()
+        try:
+            return self._ingest(directory, force, include, exclude, late)
+        except Exception as e:
+            if late.is_set():
+                raise TimeoutError(f"ingestion of {directory} took more than {limit:g} s") from e
+            raise
+        finally:
+            timer.cancel()
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+    def _ingest(self, directory: str, force: bool, include, exclude, late: threading.Event) -> dict:
+        """Returns files, failed, chunks, deleted, seconds.
 
         Only new and modified files are read into chunks; their old chunks and those of deleted files go in the same version that
         brings the new ones. The manifest is written last, and only where not all files failed, so an interrupted run is
@@ -86,8 +116,8 @@ class Index:
         if not counts:
             files.unpersist()
             return {"files": 0, "failed": 0, "chunks": 0, "deleted": 0, "seconds": time.time() - began}
-        if deadline is not None and time.time() > deadline:
-            raise TimeoutError("ingestion deadline reached before the first file")
+        if late.is_set():
+            raise TimeoutError
         texts = extract.extract(files.join(delta.where("change <> 'deleted'").select("rel_path"), "rel_path", "left_semi")).persist()
         failed = texts.where("error IS NOT NULL").count()
         new = build_chunks(texts, directory, self.settings, self.spec)

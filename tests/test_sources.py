@@ -191,6 +191,12 @@ def test_index(spark, tree, tmp_path):
     assert "main.py" in api.render_graph(api.get_dependency_graph(ix, tree))
     assert api.get_context(ix, tree)["total_files"] > 8
     assert api.render_hits(hits.where("false"), "q", "d").startswith("No results found")
+    with pytest.warns(DeprecationWarning):
+        assert api.collection_stats(ix).first()["total_points"] > 0
+    before = ix.chunks.state()["version"]
+    with pytest.raises(TimeoutError):
+        ix.ingest(tree, force=True, seconds=0)
+    assert ix.chunks.state()["version"] == before
 
 
 def test_stream(spark, tmp_path):
