@@ -39,8 +39,7 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def idf_table(c: DataFrame) -> DataFrame:
-    n = c.agg(F.count(F.lit(1)).alias("n"))
-    return document_frequency(c).join(F.broadcast(n)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+    return document_frequency(c).select("term", "df", idf(F.lit(c.count()), F.col("df")).alias("idf"))
 
 
 def query_terms(query: str) -> Counter:
@@ -56,7 +55,7 @@ def scores(c: DataFrame, query: str, settings: Settings = Settings()) -> DataFra
     """id, bm25_score of every document with a positive score.
 
     Term frequencies of the few query terms are counted inside each row, so postings are never shuffled: one aggregate gives the corpus
-    statistics as a single row, and a second scan scores against it.
+    statistics as a single row, whose values enter the second scan as literals.
     """
     terms = query_terms(query)
     if not terms:
@@ -65,16 +64,17 @@ def scores(c: DataFrame, query: str, settings: Settings = Settings()) -> DataFra
     names = {t: f"_tf{i}" for i, t in enumerate(terms)}
     rows = c.select("id", "dl", *[tf[t].alias(names[t]) for t in terms])
     stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"), *[F.count_if(F.col(names[t]) > 0).alias("_df" + names[t]) for t in terms])
+    seen = stats.first()
     k1, b = settings.bm25_k1, settings.bm25_b
-    total = F.lit(0.0)
+    total, some = F.lit(0.0), F.lit(False)
     for t, times in terms.items():
-        f = F.col(names[t])
-        weight = f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("_avg")))
-        total = total + F.when(f > 0, times * idf(F.col("_n"), F.col("_df" + names[t])) * weight).otherwise(0.0)
-    some = F.lit(False)
-    for t in terms:
-        some = some | (F.col(names[t]) > 0)
-    return rows.where(some).join(F.broadcast(stats)).select("id", total.alias("bm25_score")).where("bm25_score > 0")
+        f, df = F.col(names[t]), seen["_df" + names[t]]
+        if not df:
+            continue
+        weight = f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.lit(seen["_avg"])))
+        total = total + F.when(f > 0, times * idf(F.lit(seen["_n"]), F.lit(df)) * weight).otherwise(0.0)
+        some = some | (f > 0)
+    return rows.where(some).select("id", total.alias("bm25_score")).where("bm25_score > 0")
 
 
 def topk(c: DataFrame, query: str, k: int = 20, settings: Settings = Settings()) -> DataFrame:
