@@ -142,14 +142,13 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: i
     out = placed.join(schedule, ["source", "block"]).select("slot", (F.col("_at") % F.lit(block)).alias("position"), "doc_id", "source", "repeat_no", "n_tokens")
 
     got = out.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), F.max("repeat_no").alias("most_repeats"))
-    all_t = got.agg(F.sum("tokens").alias("_all"))
+    everything = F.sum(F.coalesce("tokens", F.lit(0))).over(W.partitionBy(F.lit(0)))  # over one row a target
     shares = (
         want.join(got, "source", "left")
-        .join(F.broadcast(all_t))
         .select(
             "source",
             F.col("weight").alias("target_share"),
-            (F.coalesce("tokens", F.lit(0)) / F.col("_all")).alias("share"),
+            (F.coalesce("tokens", F.lit(0)) / F.greatest(everything, F.lit(1))).alias("share"),
             F.coalesce("tokens", F.lit(0)).alias("tokens"),
             F.coalesce("documents", F.lit(0)).alias("documents"),
             F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
