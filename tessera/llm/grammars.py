@@ -5,7 +5,10 @@ They accept or reject; they build no tree. A source text is valid when all of it
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
+from collections.abc import Iterator
 
 KINDS = ("js", "ts", "java", "go", "c")
 
@@ -2281,36 +2284,126 @@ _DIRECTIVES = {"include", "define", "undef", "if", "ifdef", "ifndef", "elif", "e
 _COMMENTS = re.compile(r"/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*")
 
 
-def c_lines(text: str, branch: int = 0) -> str:
-    """Text without its preprocessor lines; of conditional groups the first branch stays, or what follows it if branch is 1."""
+READINGS = 64  # combinations of branches that are tried in full; beyond it each branch is tried in place of the first and of the last ones
+
+
+def c_condition(directive: str, word: str) -> str:
+    """The condition of a directive in one spelling: no comments and continuations, `defined X` for #ifdef X."""
+    c = re.sub(r"\\\r?\n|//[^\n]*|/\*[\s\S]*?\*/", " ", directive).split(word, 1)[1]
+    c = re.sub(r"\bdefined\s*\(\s*(\w+)\s*\)", r"defined \1", " ".join(c.split()))
+    c = re.sub(r"!\s+", "!", c)
+    while re.fullmatch(r"\([^()]*\)", c):
+        c = c[1:-1].strip()
+    return {"ifdef": "defined ", "elifdef": "defined ", "ifndef": "!defined ", "elifndef": "!defined "}.get(word, "") + c
+
+
+def c_known(condition: str) -> bool | None:
+    """What a condition is whatever the settings: constants, and __cplusplus, which no C compiler defines; else None."""
+
+    def one(x: str) -> bool | None:
+        x = x.strip()
+        if m := re.fullmatch(r"(!?)([01])[uUlL]*", x):
+            return (m[2] == "1") != (m[1] == "!")
+        if x in ("__cplusplus", "defined __cplusplus") or re.fullmatch(r"__cplusplus ?>=? ?[1-9]\d*[lL]?", x):
+            return False
+        return True if x in ("!__cplusplus", "!defined __cplusplus") else None
+
+    if "(" in condition:
+        return None
+    either = []
+    for part in condition.split("||"):
+        all_of = [one(x) for x in part.split("&&")]
+        either.append(False if False in all_of else None if None in all_of else True)
+    return True if True in either else None if None in either else False
+
+
+def c_groups(text: str) -> tuple[list, list]:
+    """(items, groups) of a text without its preprocessor lines: an item is a piece of text or the number of a conditional group, a
+    group is its list of (condition, items), without the branches that are never (`#if 0`) compiled as C."""
     masked = _COMMENTS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0].startswith("/*") else m[0], text)
-    out, last, depth, skip = [], 0, [], 0
+    top: list = []
+    groups: list[list] = []
+    # of an open group: its number, the items around it, whether these are compiled at all, whether a branch must have been taken, whether #else was met
+    depth: list[list] = []
+    items, last, live = top, 0, True
     for m in _DIRECTIVE.finditer(masked):
         word = m[1]
         if word not in _DIRECTIVES:
+            if not live:
+                continue
             raise Bad("directive")
-        if not skip:
-            out.append(masked[last : m.start()])
+        items.append(masked[last : m.start()])
         last = m.end()
-        if word in ("if", "ifdef", "ifndef"):
-            depth.append(skip)
-            skip = max(skip, branch)
-        elif word in ("else", "elif"):
-            if not depth:
+        if word in ("if", "ifdef", "ifndef", "else", "elif", "elifdef", "elifndef"):
+            if word.startswith("if"):
+                depth.append([len(groups), items, live, False, False])
+                items.append(len(groups))
+                groups.append([])
+            elif not depth or depth[-1][4]:
                 raise Bad("directive")
-            skip = max(depth[-1], 1 - branch)
+            number, _, around, taken, _ = depth[-1]
+            condition = c_condition(m[0], word) if word != "else" else ""
+            known = True if word == "else" else c_known(condition)
+            live = around and not taken and known is not False
+            items = []
+            if live:
+                groups[number].append((condition, items))
+            depth[-1][3:] = [taken or known is True, word == "else"]
         elif word == "endif":
             if not depth:
                 raise Bad("directive")
-            skip = depth.pop()
-        elif word == "include" and not re.match(r"[ \t]*#[ \t]*include[ \t]*(?:<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*)", m[0]):
+            _, items, live, _, _ = depth.pop()
+        elif live and word == "include" and not re.match(r"[ \t]*#[ \t]*include[ \t]*(?:<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*)", m[0]):
             raise Bad("include")
     if depth:
         raise Bad("conditional left open")
-    out.append(masked[last:])
+    top.append(masked[last:])
+    return top, groups
+
+
+def c_lines(items: list, groups: list, choice: dict[int, int]) -> str:
+    """The reading of a text that takes branch choice[n] of group n, the first where it names none; -1 takes none."""
+    out = []
+    for x in items:
+        if isinstance(x, str):
+            out.append(x)
+        elif groups[x] and choice.get(x, 0) >= 0:
+            out.append(c_lines(groups[x][choice.get(x, 0)][1], groups, choice))
     return "".join(out)
 
 
+def c_readings(groups: list, fixed: dict[int, int]) -> Iterator[dict[int, int]]:
+    """Choices of a branch for every group, the first ones first. No group is left out but those that `fixed` leaves out."""
+    free = [n for n, g in enumerate(groups) if len(g) > 1 and n not in fixed]
+    if math.prod(len(groups[n]) for n in free) <= READINGS:
+        for c in sorted(itertools.product(*(range(len(groups[n])) for n in free)), key=sum):
+            yield fixed | dict(zip(free, c))
+        return
+    rest = {n: len(groups[n]) - 1 for n in free}
+    yield fixed
+    yield fixed | rest
+    for n in free:
+        for k in range(len(groups[n])):
+            yield fixed | {n: k}
+            yield fixed | rest | {n: k}
+
+
+def c_worlds(text: str, groups: list) -> list[dict[int, int]]:
+    """Where `#ifdef X` and `#ifndef X` stand apart as two groups: the branches taken with X and those without it."""
+    defined = set(re.findall(r"^[ \t]*#[ \t]*(?:define|undef)[ \t]+(\w+)", text, re.M))
+    sides: list[dict[int, int]] = [{}, {}]
+    plain = lambda c: c.removeprefix("!")
+    first = [g[0][0] if g else "" for g in groups]
+    both = {plain(c) for c in first if c and re.fullmatch(r"!?(?:defined )?\w+", c)}
+    both = {c for c in both if c in first and "!" + c in first and c.split()[-1] not in defined}
+    for n, g in enumerate(groups):
+        if g and plain(first[n]) in both:
+            other = 1 if len(g) > 1 else -1
+            for with_x, side in zip((True, False), sides):
+                side[n] = 0 if first[n].startswith("!") != with_x else other
+    return sides if both else []
+
+
 class C(Parser):
     """C11 after its preprocessor lines are taken out; unknown names may be types or macros."""
 
@@ -2721,9 +2814,22 @@ def check(lang: str, text: str) -> None:
     """Raises Bad where text is not valid in lang."""
     if lang != "c":
         return PARSERS[lang](Tokens(lang, text)).program()
-    try:
-        return C(Tokens(lang, c_lines(text))).program()
-    except Bad:
-        if not re.search(r"^[ \t]*#[ \t]*if", text, re.M):
-            raise
-        return C(Tokens(lang, c_lines(text, 1))).program()
+    items, groups = c_groups(text)
+    wrong = None
+
+    def valid(fixed: dict[int, int]) -> bool:
+        nonlocal wrong
+        seen = set()
+        for choice in c_readings(groups, fixed):
+            if (reading := c_lines(items, groups, choice)) in seen:
+                continue
+            seen.add(reading)
+            try:
+                C(Tokens(lang, reading)).program()
+                return True
+            except Bad as e:
+                wrong = wrong or e
+        return False
+
+    if not valid({}) and not ((worlds := c_worlds(text, groups)) and all(map(valid, worlds))):
+        raise wrong

@@ -138,3 +138,27 @@ def test_classify(spark):
     got = {(r["directory"], r["file_path"]) for r in handwritten.classify(df).where("found").collect()}
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 3
     assert handwritten.classify(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "#ifndef A_H\n#define A_H\nint f( ;\n#endif\n", "#ifndef A_H\n#define A_H\n<<<<<<< HEAD\nint a;\n=======\nint b;\n>>>>>>> x\n#endif\n", "#ifndef A_H\n#define A_H\nint f(void) { if (a { }\n#endif\n",
+        "int a;\n#ifdef X\nint f( ;\n#endif\nint b;\n", "#ifndef A_H\n#define A_H\nint f( ;\n#ifdef X\nint a;\n#else\nint b;\n#endif\n#endif\n", "#ifdef X\nint a\n#elif defined(Y)\nint b\n#endif\n",
+        "#if 1\nint a\n#else\nint a;\n#endif\n", "#ifdef X\nint a;\n#endif\n#ifndef X\nint b\n#endif\n", "#ifdef __cplusplus\nclass a {};\n#else\nint a\n#endif\n", "#ifdef X\n#else\n#else\n#endif\n",
+    ],
+)
+def test_error_inside_a_conditional_group(text):
+    assert syntax.parse("c", text) is not None
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "#ifndef A_H\n#define A_H\n#ifdef __cplusplus\nextern \"C\" {\n#endif\nint f(void);\n#if defined(__cplusplus) && X\n}\n#endif\n#endif\n",
+        "#if 0\nnot C at all, don't read it\n# Title\n#endif\nint a;\n", "#ifdef X\nint f(int a) {\n#else\nint f(void) {\n#endif\nreturn 1;\n}\n", "#ifdef X\nint f(int a) {\n#endif\n#ifndef X\nint f(void) {\n#endif\nreturn 1;\n}\n",
+        "#ifdef X\nint a(\n#else\nint a;\n#endif\n#ifdef Y\nint b;\n#else\nint b(\n#endif\n", "#ifdef __cplusplus\ntemplate <class T> class A {};\n#endif\nint a;\n", "#ifdef X\nint a(\n#elif defined(Y)\nint a[\n#else\nint a;\n#endif\n",
+    ],
+)
+def test_some_branch_of_every_group_is_valid(text):
+    assert syntax.parse("c", text) is None
