@@ -86,16 +86,19 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], si
     return df.withColumn("_i", inner).join(prefix, [*keys, bucket]).withColumn(out, F.col("_b") + F.col("_i")).drop("_b", "_i")
 
 
-def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: int = 7, block_tokens: int | None = None, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: int = 7, block_tokens: int | None = None, total_tokens: int | None = None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(mix, shares).
 
     mix: slot, position, doc_id, source, repeat_no, n_tokens, in the order of training; shares: source, target_share, share, tokens,
     documents, most_repeats, cap for every target.
 
-    total_tokens defaults to the largest total that meets every target within its cap (the source that binds first sets it). Sources
-    with a target but no text get share 0 and the others keep their proportions. Slot n maps the golden-ratio point of n through the
-    cumulative weights to a source, and the k-th slot of a source takes the k-th block of about block_tokens tokens of that source's
-    shuffled texts (reshuffled for each repeat). Shares differ from the targets by about one block a source. Empty tables give
+    total_tokens defaults to all tokens of the distinct texts of targeted sources. Each source gets its weight of this total, repeating
+    its texts as often as that takes; one that would exceed its cap gives all its texts max_repeats times and stays short, so the total
+    is less by that, and the shares tell what was reached. exact lowers the total to the largest that meets every target within its
+    cap (the scarcest source sets it). Sources with a target but no text get share 0 and the others keep their proportions. Slot n maps
+    the golden-ratio point of n through the cumulative shares to a source, and the k-th slot of a source takes the k-th block of about
+    block_tokens tokens of that source's shuffled texts (reshuffled for each repeat). What comes out differs from what was planned by
+    about one block a source. Empty tables give
     an empty mix. The targets are a fixed small table; more than MAX_SOURCES raise.
     """
     spark = documents.sparkSession
@@ -106,16 +109,22 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: i
     docs = cut(sized(documents, want, path))
     size = {r["source"]: (r["t"], r["n"]) for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     live = sorted((r for r in rows if r["source"] in size), key=lambda r: r["source"])
-    weight = {r["source"]: r["weight"] for r in live}
-    whole = sum(weight.values())
-    total = int(min((r["max_repeats"] * size[r["source"]][0] * whole / r["weight"] for r in live), default=0))
-    if total_tokens is not None:
-        total = min(total, total_tokens)
-    block = block_tokens or min(1 << 20, max(64, total // 4096))
-    slots = total // block
+    whole = sum(r["weight"] for r in live)
+    most = {r["source"]: r["max_repeats"] * size[r["source"]][0] for r in live}
+    total = sum(size[r["source"]][0] for r in live) if total_tokens is None else total_tokens
+    if exact:
+        fits = int(min((most[r["source"]] * whole / r["weight"] for r in live), default=0))
+        total = fits if total_tokens is None else min(fits, total)
+    given = {r["source"]: min(total * r["weight"] / whole, most[r["source"]]) for r in live}
+    block = block_tokens or min(1 << 20, max(64, int(sum(given.values())) // 4096))
+    if not exact:  # room for the last block, which is not full, of what comes out whole
+        given = {k: x + 2 * block if x == most[k] else x for k, x in given.items()}
+    total = sum(given.values())
+    share = {k: x / total for k, x in given.items()}
+    slots = int(total // block)
     ends, at = [], 0.0
     for r in live:
-        at += r["weight"] / whole
+        at += share[r["source"]]
         ends.append(at)
     names = F.array(*[F.lit(r["source"]) for r in live]) if live else F.array().cast("array<string>")
     marks = F.array(*[F.lit(int(e * LATTICE)) for e in ends[:-1]]) if len(ends) > 1 else F.array().cast("array<int>")
@@ -128,8 +137,8 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: i
     )
     schedule = running(schedule, ["source"], "_c", [F.col("slot")], F.lit(1), "block").select("source", "block", "slot")
 
-    repeats = {r["source"]: min(r["max_repeats"], math.ceil((slots * weight[r["source"]] / whole + 4) * block / size[r["source"]][0])) for r in live}
-    plan = [(r["source"], repeats[r["source"]], max(1, size[r["source"]][1] // 20_000), int((slots * weight[r["source"]] / whole + 8) * block)) for r in live]
+    repeats = {r["source"]: min(r["max_repeats"], math.ceil((slots * share[r["source"]] + 4) * block / size[r["source"]][0])) for r in live}
+    plan = [(r["source"], repeats[r["source"]], max(1, size[r["source"]][1] // 20_000), int((slots * share[r["source"]] + 8) * block)) for r in live]
     plan_df = F.broadcast(spark.createDataFrame(plan, "source string, _e int, _nb long, _need long"))
     copies = (
         docs.join(plan_df, "source")

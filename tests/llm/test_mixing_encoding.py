@@ -26,6 +26,22 @@ def test_mix(spark):
     assert mixing.mix(docs, targets.where("false"))[0].count() == 0
 
 
+def test_scarce_source_does_not_set_the_total(spark):
+    rows = [(i, f"word{i} " * 40, "big" if i % 2 else "mid") for i in range(2000)] + [(9000 + i, f"a rare text, number {i} " * 30, "scarce") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("big", 0.6, 1), ("mid", 0.25, 1), ("scarce", 0.15, 3)], "source string, weight double, max_repeats int")
+    size = {r["source"]: r["t"] for r in mixing.sized(docs, mixing.clean_targets(targets)).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    got = {r["source"]: r for r in mixing.mix(docs, targets)[1].collect()}
+    total = sum(size.values())
+    assert abs(got["big"]["tokens"] - min(0.6 * total, size["big"])) < 0.03 * total and abs(got["mid"]["tokens"] - 0.25 * total) < 0.03 * total
+    assert got["scarce"]["most_repeats"] == 3 and got["scarce"]["documents"] == 12 and 2.7 * size["scarce"] < got["scarce"]["tokens"] <= 3 * size["scarce"]
+    assert got["scarce"]["share"] < 0.1 and abs(sum(r["share"] for r in got.values()) - 1) < 1e-9
+    exact = {r["source"]: r for r in mixing.mix(docs, targets, exact=True)[1].collect()}
+    assert all(abs(exact[k]["share"] - w) < 0.02 for k, w in (("big", 0.6), ("mid", 0.25), ("scarce", 0.15)))
+    few = mixing.mix(docs, targets, total_tokens=20_000)[1].agg(F.sum("tokens")).first()[0]
+    assert abs(few - 20_000) < 1_500
+
+
 def test_lattice_counts():
     n, w = 10_000, 0.37
     hits = sum((i * mixing.STEP) % mixing.LATTICE < w * mixing.LATTICE for i in range(n))
