@@ -94,3 +94,15 @@ def test_soft_hyphens_and_quotes_are_clean(text):
 
 def test_lower_cased_afterwards():
     assert encoding.repair("see the cafã© rã©sumã©â€¦") == (True, "see the café résumé…", 1, True)
+
+
+@pytest.mark.parametrize("text", ["— voilÃ le cache", "un dÃjà vu", "le cafĆ© noir"])
+def test_garbled_beyond_repair(text):
+    assert encoding.repair(text) == (True, text, 0, False)
+    found, restored, layers, complete = encoding.repair("Ã¼ber die BrÃ¼cke\nclean\n" + text)
+    assert found and restored.startswith("über die Brücke\nclean\n") and layers == 1 and not complete
+
+
+@pytest.mark.parametrize("text", ["Python版の索引", "a&lt;&gt;b &amp;&amp; c", "Ærø, Þór, Ångström", "a │ b ├ c", "SÃO ÀS MAÇÃS", "№ 5 · §3 † ‡"])
+def test_odd_but_clean(text):
+    assert encoding.repair(text)[0] is False
