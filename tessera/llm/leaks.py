@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from tessera.session import spread
 
 WINDOW = 12  # words: the shortest passage that counts
-STEPS = 3 * WINDOW  # length of the random walk
-SAMPLED = 8  # positions of the walk a hash samples
-REPEATS = 8  # hashes; one edit in a window is met with 0.88, an exact window always
+STEPS = 2 * WINDOW  # length of a random walk; most end their window later, so that few samples fall behind the end
+SAMPLED = 5  # positions of its walk a hash samples
+WALKS = 16  # independent walks with a hash each; recall at one and two edits is in the README, an exact window is always met
 MAX_EDITS = 2
-BLOCK_WORDS = 2_000_000  # words of evaluation text indexed at once (about 0.2 GB); more are treated in several passes
+BLOCK_WORDS = 1_000_000  # words of evaluation text indexed at once (about 0.3 GB); more are treated in several passes
 SEED = 20
 _INVISIBLE = re.compile("[\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
 _MARK = re.compile("[\u0300-\u036f\u0483-\u0487]")
@@ -61,9 +61,9 @@ def keys(embedded: np.ndarray, sample: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Hashes of all item windows. Every window of every item is indexed; memory is bounded by BLOCK_WORDS."""
+    """Hashes of all item windows. Every window of every item is indexed; memory is bounded by BLOCK_WORDS. One walk meets equal windows."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], walks: int = WALKS):
         self.vocab: dict[str, int] = {}
         self.ids, lists = [], []
         for item_id, text in items:
@@ -74,13 +74,12 @@ class Index:
         self.bounds = np.cumsum([0] + [len(x) for x in lists])
         self.symbols = np.array([s for x in lists for s in x], np.int32)
         rng = np.random.default_rng(SEED)
-        self.bits = rng.integers(0, 2, (STEPS, len(self.vocab) + 1)).astype(np.int64)
-        self.samples = [np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(REPEATS)]
+        self.bits = [rng.integers(0, 2, (STEPS, len(self.vocab) + 1), np.int8) for _ in range(walks)]
+        self.samples = [np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(walks)]
         starts = np.concatenate([np.arange(a, b - WINDOW + 1) for a, b in zip(self.bounds, self.bounds[1:])]) if lists else np.zeros(0, np.int64)
         self.tables, self.filters = [], []
-        emb = walk(self.symbols, starts, self.bits) if len(starts) else None
-        for sample in self.samples if emb is not None else []:
-            k = keys(emb, sample)
+        for bits, sample in zip(self.bits, self.samples) if len(starts) else []:
+            k = keys(walk(self.symbols, starts, bits), sample)
             order = np.argsort(k, kind="stable")
             flag = np.zeros(1 << 20, bool)
             flag[(k & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -89,18 +88,17 @@ class Index:
         self.item_of = np.repeat(np.arange(len(lists)), np.diff(self.bounds)) if lists else np.zeros(0, int)
 
     def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Distinct (diagonal, item) of all hash matches: rows of document start, item start."""
-        found = []
-        emb = walk(symbols, starts, self.bits)
-        for sample, (k, where), flag in zip(self.samples, self.tables, self.filters):
-            h = keys(emb, sample)
+        """Distinct hash matches: rows of document start, item start."""
+        found = np.zeros(0, np.int64)
+        for bits, sample, (k, where), flag in zip(self.bits, self.samples, self.tables, self.filters):
+            h = keys(walk(symbols, starts, bits), sample)
             hit = np.flatnonzero(flag[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(k, h[hit], "left"), np.searchsorted(k, h[hit], "right")
             n = hi - lo
             if n.sum():
                 reach = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                found.append(np.stack([np.repeat(starts[hit], n), where[reach]], 1))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                found = np.union1d(found, np.repeat(starts[hit], n) * len(self.symbols) + where[reach])
+        return np.stack(np.divmod(found, max(len(self.symbols), 1)), 1)
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -142,7 +140,6 @@ def scan(index: Index, batch: pd.DataFrame, windows_at_once: int = 100_000) -> I
         pairs = index.candidates(symbols, starts)
         if not len(pairs):
             return
-        pairs = np.unique(pairs, axis=0)
         d = np.searchsorted(begin, pairs[:, 0], "right") - 1
         item = index.item_of[pairs[:, 1]]
         span = np.arange(WINDOW)
@@ -175,11 +172,11 @@ def scan(index: Index, batch: pd.DataFrame, windows_at_once: int = 100_000) -> I
 SCHEMA = "doc_id bigint, item_id bigint, run_words int, edits int"
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, walks: int = WALKS) -> DataFrame:
     """doc_id, item_id, run_words, edits: every document with a window of 12 words within two edits of an item's window.
 
     edits 0 means an exact run of at least 12 words; run_words is the longest exact run on an alignment that was met. Windows that are equal always share all hashes, so exact runs are never missed; edited
-    ones are found with the recall REPEATS gives. Items are indexed in blocks of BLOCK_WORDS words, each block broadcast and held
+    ones are found with the recall that WALKS and SAMPLED give (README). Items are indexed in blocks of BLOCK_WORDS words, each block broadcast and held
     against all documents: no shuffle, and memory does not grow with either table. NULL ids and texts, and texts shorter than 12 words,
     match nothing; whole texts are searched.
     """
@@ -188,7 +185,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     out, block, n = [], [], 0
 
     def against(block: list[tuple[int, str]]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(Index(block))
+        shipped = spark.sparkContext.broadcast(Index(block, walks))
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = shipped.value
@@ -214,7 +211,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def exact_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct doc_id, item_id with at least 12 consecutive words of the item."""
-    return leaks(documents, items).where("edits = 0").select("doc_id", "item_id").distinct()
+    return leaks(documents, items, walks=1).where("edits = 0").select("doc_id", "item_id").distinct()
 
 
 def report(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,6 +75,28 @@ def test_leaks_equal_brute_force_in_blocks(spark, data, monkeypatch):
     assert {tuple(r) for r in leaks.exact_leaks(docs, items).collect()} == want
 
 
+@pytest.mark.parametrize("edits,shift", [(1, False), (2, False), (2, True)])
+def test_recall_of_edited_passages(edits, shift):
+    """Passages of 12 words with changed words, or (shift) a word deleted and one inserted."""
+    rng = np.random.default_rng(edits)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(vocab[int(3000 * u**3)] for u in rng.random(60))) for i in range(150)]
+    rows = []
+    for n in range(600):
+        w = items[n % 150][1].split()
+        at = int(rng.integers(len(w) - 11))
+        w = w[at : at + 12]
+        if shift:
+            del w[int(rng.integers(12))]
+            w.insert(int(rng.integers(12)), vocab[int(rng.integers(3000))])
+        else:
+            for k in rng.choice(12, edits, replace=False):
+                w[k] = "unheard"
+        rows.append((n, " ".join(w)))
+    met = {(d, i) for d, i, _, _ in leaks.scan(leaks.Index(items), pd.DataFrame(rows, columns=["doc_id", "text"]))}
+    assert sum((n, n % 150) in met for n in range(600)) >= 0.9 * 600
+
+
 def clustered(n, dim=64, seed=0):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((20, dim))
