@@ -13,18 +13,18 @@ BOUNDARIES = (r"(?<=\n[ \t]{0,8}\r?\n)", r"(?<=\n)", r"(?<=[.!?;。！？])(?=\s
 
 
 def pattern(limit: Column) -> Column:
-    """The piece regex for a size limit: try each boundary strength over the later half of the limit, then hard cut.
+    """The piece regex for a size limit: try each boundary strength over the later half of the limit, then over the whole of it, then hard cut.
 
-    Each alternative is `.{half,limit}` that must end right behind its boundary (a bounded lookbehind), so no piece is ever longer
+    Each alternative is `.{half,limit}` or `.{1,limit}` that must end right behind its boundary (a bounded lookbehind), so no piece is ever longer
     than the limit.
     A text's remainder within the limit is taken whole by the first alternative.
     """
     most = limit.cast("string")
     least = F.greatest(F.lit(1), (limit / 2).cast("int")).cast("string")
-    quantified = F.concat(F.lit(".{"), least, F.lit(","), most, F.lit("}"))
     parts: list[Column] = [F.lit("(?s)(?:.{1,"), most, F.lit(r"}\z")]
-    for behind in BOUNDARIES:
-        parts += [F.lit("|"), quantified, F.lit(behind)]
+    for at_least in (least, F.lit("1")):
+        for behind in BOUNDARIES:
+            parts += [F.lit("|.{"), at_least, F.lit(","), most, F.lit("}"), F.lit(behind)]
     parts += [F.lit("|.{1,"), most, F.lit("})")]
     return F.concat(*parts)
 
@@ -32,15 +32,16 @@ def pattern(limit: Column) -> Column:
 def overlapped(raw: Column, overlap: Column) -> Column:
     """Prefix each piece but the first with the `overlap` code points that precede it in the text.
 
-    Every piece but the last has at least half the limit, so a fixed number of predecessors always holds the overlap;
-    the number is taken from the shortest piece that is not last, which keeps odd limits right too.
+    Where the piece before is shorter than the overlap, more predecessors are joined; their number is taken from the shortest piece
+    that is not last.
     """
     shortest = F.coalesce(F.array_min(F.transform(F.slice(raw, F.lit(1), F.greatest(F.size(raw) - 1, F.lit(0))), F.length)), F.lit(1))
     back = F.ceil(overlap / F.greatest(shortest, F.lit(1))).cast("int")
 
     def one(piece: Column, i: Column) -> Column:
         first = F.greatest(i - back, F.lit(0))
-        before = F.array_join(F.slice(raw, first + 1, i - first), "")
+        last = F.get(raw, i - 1)
+        before = F.when(F.length(last) >= overlap, last).otherwise(F.array_join(F.slice(raw, first + 1, i - first), ""))
         return F.when((i > 0) & (overlap > 0), F.concat(F.right(before, overlap), piece)).otherwise(piece)
 
     return F.transform(raw, one)

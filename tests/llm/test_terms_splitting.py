@@ -48,6 +48,16 @@ def test_boundaries(spark):
     assert "".join(got) == text
 
 
+def test_boundary_in_the_first_half(spark):
+    texts = ["ab " + "x" * 9, "a.\n\nb " + "y" * 18 + " z", "aa bb " + "w" * 45 + " c"]
+    got: dict = {}
+    for r in splitting.split(items(spark, texts, 20, 0).withColumn("chunk_size", F.array(F.lit(10), F.lit(20), F.lit(20))[F.col("k").cast("int")]).drop("piece"), ["k"]).orderBy("k", "chunk_index").collect():
+        got.setdefault(r["k"], []).append(r["piece"])
+    assert got == {"0": ["ab ", "x" * 9], "1": ["a.\n\n", "b ", "y" * 18 + " z"], "2": ["aa bb ", "w" * 20, "w" * 20, "w" * 5 + " c"]}
+    over = [r["piece"] for r in splitting.split(items(spark, ["aa bb " + "w" * 45], 20, 8).drop("piece"), ["k"]).orderBy("chunk_index").collect()]
+    assert over == ["aa bb ", "aa bb " + "w" * 20, "w" * 28, "w" * 13]
+
+
 def test_oversized(spark):
     lim = spark.createDataFrame([("code", 5, 2), (None, 3, 1)], "content_type string, chunk_size int, chunk_overlap int")
     ex = spark.createDataFrame([(1, "  abcde \n", "code", "d", "f", None), (2, "abcdef", "code", "d", "f", {"k": "v"}), (3, "abcd", None, "d", "f", None), (4, None, "code", None, None, None), (5, "abcdefgh", "other", "d", "f", None)], "file_id bigint, text string, content_type string, directory string, file_path string, meta map<string,string>")
