@@ -21,6 +21,8 @@ SAMPLE = 60_000  # vectors k-means is fitted on, at most
 BLOCKS = (32, 48)  # dimensions after which the hypothesis test is made; the last block completes the distance
 EPSILON = 1.7  # strictness of the test: a true neighbour is lost with a probability below exp(-c * EPSILON**2)
 GROUP_QUERIES = 30_000  # vectors that one task searches for
+SLICE = 4 * LIST_SIZE  # candidate vectors that are scanned at once, at most
+PAIRS = 1 << 22  # queries x candidates of one product, at most
 SEED = 33
 
 
@@ -98,13 +100,19 @@ class Searcher:
         self.vecs, self.ids, self.lists = [], [], []
 
     def scan(self, home: int, c: Candidates) -> None:
-        """Score one block of candidates for the vectors of one home list.
+        """Score one block of candidates for the vectors of one home list, so many at a time that a product has PAIRS pairs at most."""
+        start, end = self.span[home]
+        tile = max(1, PAIRS // max(1, len(c.x)))
+        for a in range(start, end, tile):
+            self.scan_tile(a, min(a + tile, end), c)
+
+    def scan_tile(self, a: int, b: int, c: Candidates) -> None:
+        """Score one block of candidates for the vectors a to b.
 
         On unit vectors the squared distance over the first d rotated dimensions, scaled by dim/d, estimates the full one; a pair is
         abandoned once it exceeds the k-th best distance so far by the factor (1 + EPSILON / sqrt(d)) ** 2. Written with the dot product: it
         lives while dot - |c|^2/2 >= |q|^2/2 - bound/2.
         """
-        a, b = self.span[home]
         q, cand = self.q[a:b], c.x
         worst = self.top[a:b].min(1)
         if worst.max() < -1:  # nothing to compare with yet: the k best of the whole block are the start
@@ -281,11 +289,13 @@ def neighbors(points: DataFrame, k: int = K, dim: int = 64, probed: float = PROB
                 if not closed and s.ids:
                     s.close_queries()
                     closed = True
-                if cd[lo] != current or sum(map(len, vecs)) > 4 * LIST_SIZE:
-                    flush()
-                    current = int(cd[lo])
-                vecs.append(x[lo:hi].copy())
-                ids.append(who[lo:hi])
+                for at in range(lo, hi, SLICE):
+                    to = min(at + SLICE, hi)
+                    if cd[lo] != current or sum(map(len, vecs)) + to - at > SLICE:
+                        flush()
+                        current = int(cd[lo])
+                    vecs.append(x[at:to].copy())
+                    ids.append(who[at:to])
         flush()
         if s is not None and closed:
             yield s.results(seen)

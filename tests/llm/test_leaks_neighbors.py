@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -142,6 +144,25 @@ def test_hot_group_and_dirt(spark, monkeypatch):
     assert len({(r["id_a"], r["id_b"]) for r in pairs}) == len(pairs) and all(r["id_a"] < r["id_b"] for r in pairs)
 
 
+def test_products_of_a_hot_list_are_bounded():
+    """Every vector is the same but for a few; the whole product of queries and candidates would take over 144 MB, its order 288 MB."""
+    x = np.repeat(clustered(1), 6000, axis=0)
+    x[::50] = clustered(120, seed=2)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([str(i) for i in range(6000)], object)
+    s = neighbors.Searcher(10, 64)
+    s.ids, s.vecs, s.lists = list(ids), list(x), [0] * 6000
+    s.close_queries()
+    tracemalloc.start()
+    s.scan(0, neighbors.Candidates(x, ids))
+    s.scan(0, neighbors.Candidates(x[:500], ids[:500], 6000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    want = np.sort(x[:200] @ x.T - 2 * np.eye(200, 6000), axis=1)[:, :-11:-1]
+    assert np.allclose(s.top[1:50], want[1:50], atol=1e-5) and (s.who[:200] != np.arange(200)[:, None]).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5])
 def test_few(spark, n):
     got = neighbors.neighbors(frame(spark, clustered(max(n, 1))).limit(n)).count()
