@@ -37,9 +37,36 @@ def _hard(text: Column, size: int) -> Column:
     return F.filter(F.transform(cuts, lambda i: strip(F.substring(text, i * size + 1, F.lit(size)))), lambda p: p != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: inside a lambda, an expression is evaluated anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+BLOCK = 512  # parts of an inner fold
+
+
+def _fold(parts: Column, carry: dict[str, Column], step: Callable[[Column, Column], Column], done: Callable[[Column], Column]) -> Column:
+    """Folds parts into a struct of `out` (the pieces so far) and the fields of carry.
+
+    Every step of an `aggregate` copies its state. So parts are folded in blocks whose own `out` stays short, and the long one is touched once a
+    block: the time is linear in the text.
+    """
+    none = F.array().cast(_STRINGS).alias("out")
+
+    def over(items: Column) -> Column:
+        def block(acc: Column, b: Column) -> Column:
+            start = F.struct(none, *[acc[c].alias(c) for c in carry])
+            whole = lambda s: F.struct(F.concat(acc["out"], s["out"]).alias("out"), *[s[c].alias(c) for c in carry])
+            return F.aggregate(F.slice(items, b * BLOCK + 1, F.lit(BLOCK)), start, step, whole)
+
+        last = F.greatest(F.floor((F.size(items) - 1) / BLOCK).cast("int"), F.lit(0))
+        return F.aggregate(F.sequence(F.lit(0), last), F.struct(none, *[v.alias(c) for c, v in carry.items()]), block, done)
+
+    return bound(parts, over)
+
+
 def _pack(parts: Column, sep: str, size: int, oversize: Callable[[Column], Column], tidy: Callable[[Column], Column]) -> Column:
     """Greedy packing of parts up to size; a part over it is split by `oversize`, and what was gathered before is flushed."""
-    start = F.struct(F.array().cast(_STRINGS).alias("out"), F.lit("").alias("cur"))
 
     def step(acc: Column, part: Column) -> Column:
         joined = F.when(acc["cur"] != "", F.concat(acc["cur"], F.lit(sep), part)).otherwise(part)
@@ -51,7 +78,7 @@ def _pack(parts: Column, sep: str, size: int, oversize: Callable[[Column], Colum
             .otherwise(F.struct(flushed.alias("out"), part.alias("cur")))
         )
 
-    return F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], tidy(acc["cur"])))
+    return _fold(parts, {"cur": F.lit("")}, step, lambda acc: F.concat(acc["out"], tidy(acc["cur"])))
 
 
 def _level(text: Column, size: int, level: int) -> Column:
@@ -69,7 +96,7 @@ def with_overlap(raw: Column, overlap: int) -> Column:
     """Every piece but the first is preceded by the last `overlap` code points of the raw piece before it."""
     if overlap <= 0:
         return raw
-    return F.transform(raw, lambda p, i: F.when(i > 0, F.concat(F.right(F.get(raw, i - 1), F.lit(overlap)), p)).otherwise(p))
+    return bound(raw, lambda r: F.transform(r, lambda p, i: F.when(i > 0, F.concat(F.right(F.get(r, i - 1), F.lit(overlap)), p)).otherwise(p)))
 
 
 def recursive(text: Column, size: int, overlap: int) -> Column:
@@ -85,19 +112,20 @@ def paragraph(text: Column, size: int, overlap: int) -> Column:
 
 def csv(text: Column, size: int) -> Column:
     """Groups of rows up to size, each under the header. A lone header gives nothing, an oversized row stays whole."""
-    lines = _parts(strip(F.coalesce(text, F.lit(""))), "\n")
-    head = F.get(lines, F.lit(0))
-    zero = F.struct(F.array().cast(_STRINGS).alias("out"), F.array().cast(_STRINGS).alias("rows"), F.length(head).alias("n"))
-    group = lambda rows: F.concat(head, F.lit("\n"), F.array_join(rows, "\n"))
-
-    def step(acc: Column, row: Column) -> Column:
-        full = (acc["n"] + F.length(row) + 1 > size) & (F.size(acc["rows"]) > 0)
-        flushed = F.struct(F.concat(acc["out"], F.array(group(acc["rows"]))).alias("out"), F.array(row).alias("rows"), (F.length(head) + F.length(row) + 1).alias("n"))
-        return F.when(full, flushed).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["rows"], F.array(row)).alias("rows"), (acc["n"] + F.length(row) + 1).alias("n")))
-
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    done = lambda acc: F.when(F.size(acc["rows"]) > 0, F.concat(acc["out"], F.array(group(acc["rows"])))).otherwise(acc["out"])
-    return F.when(is_blank(text), F.array().cast(_STRINGS)).otherwise(F.aggregate(rest, zero, step, done))
+    group = lambda head, rows: F.concat(head, F.lit("\n"), F.array_join(rows, "\n"))
+
+    def grouped(lines: Column, head: Column) -> Column:
+        def step(acc: Column, row: Column) -> Column:
+            full = (acc["n"] + F.length(row) + 1 > size) & (F.size(acc["rows"]) > 0)
+            flushed = F.struct(F.concat(acc["out"], F.array(group(head, acc["rows"]))).alias("out"), F.array(row).alias("rows"), (F.length(head) + F.length(row) + 1).alias("n"))
+            return F.when(full, flushed).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["rows"], F.array(row)).alias("rows"), (acc["n"] + F.length(row) + 1).alias("n")))
+
+        rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        done = lambda acc: F.when(F.size(acc["rows"]) > 0, F.concat(acc["out"], F.array(group(head, acc["rows"])))).otherwise(acc["out"])
+        return _fold(rest, {"rows": F.array().cast(_STRINGS), "n": F.length(head)}, step, done)
+
+    pieces = bound(_parts(strip(F.coalesce(text, F.lit(""))), "\n"), lambda lines: bound(F.get(lines, F.lit(0)), lambda head: grouped(lines, head)))
+    return F.when(is_blank(text), F.array().cast(_STRINGS)).otherwise(pieces)
 
 
 # --- Python side -------------------------------------------------------------------------------------------------------------------

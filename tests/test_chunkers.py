@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,25 @@ def test_dispatch(spark):
     df = spark.createDataFrame(rows, "k string, text string, content_type string, meta map<string,string>")
     got = {r["k"]: (r["chunk"], r["section_title"]) for r in C.chunk(df, ["k"]).collect()}
     assert got == {"a": ("def f():\n  pass", None), "b": ("x", "T"), "c": ("h\n1\n2", None), "d": ('{\n  "k": 1\n}', None), "e": ("p\n\nq", None), "f": ("plain", None)}
+
+
+def test_time_is_linear_in_the_text(spark):
+    """A text of the largest size allowed, with the default overlap, by every chunker that packs in the JVM."""
+    prose = "".join(f"Line {i} of a long file with some words in it.\n" + ("\n" if i % 9 == 0 else "") for i in range(25_000))[: 1 << 20]
+    one_line = ("word " * 210_000)[: 1 << 20]
+    table = "a,b,c\n" + "".join(f"{i},value,{i * 7}\n" for i in range(60_000))
+    took = {}
+    for name, text, pieces in [
+        ("lines", prose, lambda t: C.recursive(t, 1000, 200)), ("words", one_line, lambda t: C.recursive(t, 1000, 200)), ("paragraphs", prose, lambda t: C.paragraph(t, 1000, 200)), ("csv", table[: 1 << 20], lambda t: C.csv(t, 800)),
+    ]:
+        for part in (text[: len(text) // 2], text):
+            df = spark.createDataFrame([(part,)], "t string").select(F.size(pieces(F.col("t"))).alias("n"))
+            best = None
+            for _ in range(2):
+                began = time.perf_counter()
+                n = df.first()["n"]
+                best = min(best or 1e9, time.perf_counter() - began)
+            assert n > 500
+            took[name, len(part)] = best
+        half, whole = (v for k, v in took.items() if k[0] == name)
+        assert whole < 5 and whole < 3 * half + 0.5, took
