@@ -98,12 +98,12 @@ FROM p JOIN q USING (term) JOIN f USING (term), s GROUP BY id ORDER BY bm25_scor
 
 @query(_bm25_sql(QUESTION))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.topk(corpus(spark, d), QUESTION, 20)
+    return lexical.topk(table(spark, d, "bm25_corpus"), QUESTION, 20, repeated=True)
 
 
 @query(_bm25_sql("shard shard filter"))
 def bm25_duplicate_terms(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.topk(corpus(spark, d), "shard shard filter", 20)
+    return lexical.topk(table(spark, d, "bm25_corpus"), "shard shard filter", 20, repeated=True)
 
 
 @query(
@@ -116,7 +116,8 @@ def bm25_duplicate_terms(spark: SparkSession, d: str) -> DataFrame:
 def bm25_update(spark: SparkSession, d: str) -> DataFrame:
     gone = table(spark, d, "bm25_corpus").where(F.col("directory").like("%harborline-core") & F.col("id").isNotNull()).select("id").distinct()
     docs = table(spark, d, "documents").where("source = 'glossary'").withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id")))
-    return lexical.topk(lexical.update(corpus(spark, d), lexical.corpus(docs, "doc_id", "text"), gone), QUESTION, 20)
+    now = lexical.update(lexical.counted(table(spark, d, "bm25_corpus"), QUESTION, repeated=True), lexical.counted(lexical.corpus(docs, "doc_id", "text"), QUESTION), gone)
+    return lexical.best(lexical.score_counts(now, QUESTION), 20)
 
 
 # --- vectors
@@ -164,7 +165,7 @@ _SHARE = "round(coalesce(0.7 / (60 + sem_rank + 1), 0) + coalesce(0.3 / (60 + bm
 )
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     sem = vector.topk(table(spark, d, "points").select("id", "vector"), PROBE, 20, unique=False)
-    lex = lexical.topk(corpus(spark, d), QUESTION, 20)
+    lex = lexical.topk(table(spark, d, "bm25_corpus"), QUESTION, 20, repeated=True)
     top = fusion.best(fusion.fuse(fusion.ranked(sem, "score", "sem_rank"), fusion.ranked(lex, "bm25_score", "bm_rank")), 10)
     paths = table(spark, d, "chunks").select("id", "file_path").join(F.broadcast(top.select("id")), "id").groupBy("id").agg(F.max("file_path").alias("file_path"))
     return top.join(paths, "id", "left").select("id", "fused_score", "file_path")

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.operators import fusion, lexical
@@ -47,6 +48,18 @@ def test_update_and_duplicates(spark, docs):
     assert got == {"py": 1, "rust": 4, "none": 0, "empty": 0, "go": 2}
     stored = spark.createDataFrame([("a", ["x", None, ""]), ("a", ["x", None, ""]), ("b", None), (None, ["x"])], "id string, tokens array<string>")
     assert {r["id"]: r["tokens"] for r in lexical.deduplicated(stored).collect()} == {"a": ["x"], "b": []}
+    got = lexical.scores(stored, "x", repeated=True).collect()
+    assert [r["id"] for r in got] == ["a"] and got == lexical.scores(lexical.deduplicated(stored), "x").collect()
+
+
+def test_rows_by_repetition(spark):
+    from tessera.operators.repeats import by_repetition
+
+    rows = spark.range(2000).selectExpr("if(id < 900, 7, id) AS key", "id AS value").withColumn("key", F.when(F.col("value") == 1999, None).otherwise(F.col("key").cast("string")))
+    one, more = by_repetition(rows, "key")
+    a, b = {r["value"] for r in one.collect()}, {r["value"] for r in more.collect()}
+    assert not a & b and a | b == set(range(1999)) and set(range(900)) <= b and len(a) > 1000
+    assert one.columns == ["key", "value"]
 
 
 def test_fusion(spark):
