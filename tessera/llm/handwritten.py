@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from tessera.session import cut, spread
 
 SLOTS = 8
-SAMPLE_PER_CLASS = 4000  # files the forest is fitted on, at most, per class
-TREES, DEPTH = 40, 9
+SAMPLE_PER_CLASS = 20_000  # files the forests are fitted on, at most, per class
+TREES, DEPTH = 20, 9  # of each forest
+LEAVES = 1000  # a leaf of the first step holds at least this part of the sample
+FOUND = 0.5
+FEWEST = 5  # labelled files needed to learn at all
 SEED = 11
 
 # Notices that tools and foreign projects leave in comments. They label a file and are removed before its features are taken.
@@ -109,7 +112,8 @@ FEATURES = [
 
 
 def file_features(chunks: DataFrame) -> DataFrame:
-    """One row per (directory, file_path) with FEATURES, tool and project (notice flags).
+    """One row per (directory, file_path) with FEATURES, tool and project (notice flags; a project's notice also counts where another
+    checkout's copy of the same code, with four equal min-hashes, carries it).
 
     Texts never leave the task that reads them: every chunk becomes a row of measures that combine by sum, maximum and
     minimum (map side first). shared_slots counts the min-hash slots of a file's code lines that another checkout shares, places the
@@ -122,16 +126,19 @@ def file_features(chunks: DataFrame) -> DataFrame:
     )
     files = cut(per_file)
     bands = [F.xxhash64(*_SLOT_COLS[: SLOTS // 2]), F.xxhash64(*_SLOT_COLS[SLOTS // 2 :])]
-    slots = files.where(F.col("body") >= 3).select("directory", "file_path", F.posexplode(F.array(*_SLOT_COLS, *bands)).alias("slot", "h"))
-    spread = slots.groupBy("slot", "h", "directory").agg(F.lit(1).alias("_x")).groupBy("slot", "h").agg(F.count(F.lit(1)).alias("dirs")).where("dirs > 1")
-    shared = slots.join(spread, ["slot", "h"]).groupBy("directory", "file_path").agg(F.count_if(F.col("slot") < SLOTS).alias("shared_slots"), F.count_if(F.col("slot") >= SLOTS).alias("shared_bands"), F.percentile_approx("dirs", F.lit(0.5)).alias("places"))
+    slots = files.where(F.col("body") >= 3).select("directory", "file_path", "project", "body", F.posexplode(F.array(*_SLOT_COLS, *bands)).alias("slot", "h"))
+    spread = slots.groupBy("slot", "h", "directory").agg(F.max("project").alias("p")).groupBy("slot", "h").agg(F.count(F.lit(1)).alias("dirs"), F.max("p").alias("noticed")).where("dirs > 1")
+    kin = F.max(F.when((F.col("slot") >= SLOTS) & (F.col("body") >= 4), F.col("noticed")).otherwise(0.0))
+    shared = slots.join(spread, ["slot", "h"]).groupBy("directory", "file_path").agg(
+        F.count_if(F.col("slot") < SLOTS).alias("shared_slots"), F.count_if(F.col("slot") >= SLOTS).alias("shared_bands"), F.percentile_approx("dirs", F.lit(0.5)).alias("places"), kin.alias("kin")
+    )
     n = F.greatest(F.col("chars"), F.lit(1.0))
     t = F.greatest(F.col("tokens"), F.lit(1.0))
     same = F.col("directory").eqNullSafe(F.col("_d")) & (F.col("file_path") == F.col("_p"))
     return (
         files.join(shared.withColumnsRenamed({"directory": "_d", "file_path": "_p"}), same, "left")
         .select(
-            "directory", "file_path", "tool", "project", (F.col("packed") / n).alias("ratio"), (F.col("entropy") / t).alias("entropy_"),
+            "directory", "file_path", "tool", F.greatest("project", F.coalesce("kin", F.lit(0.0))).alias("project"), (F.col("packed") / n).alias("ratio"), (F.col("entropy") / t).alias("entropy_"),
             (F.col("name_chars") / F.greatest(F.col("names"), F.lit(1.0))).alias("name_len"), (F.col("short_names") / F.greatest(F.col("names"), F.lit(1.0))).alias("short_share"),
             (F.col("comment") / n).alias("comment_share"), (F.col("chars") / F.greatest(F.col("lines"), F.lit(1.0))).alias("line_len"), (F.col("blank") / F.greatest(F.col("lines"), F.lit(1.0))).alias("blank_share"),
             (F.col("space") / n).alias("space_share"), (F.col("digits") / n).alias("digit_share"), (F.col("punct") / n).alias("punct_share"), (F.col("literal") / n).alias("literal_share"),
@@ -142,59 +149,73 @@ def file_features(chunks: DataFrame) -> DataFrame:
     )
 
 
-def exemplar() -> Column:
-    """Files that label themselves: header notices first of all; and, since minified files, data blobs and silently copied files seldom carry
-    one, unmistakable shapes of those: no white space on very long lines, next to nothing but literals, code lines that agree with those
-    of another checkout in at least 7 of 8 min-hash slots, four of them at once."""
-    notice = (F.col("tool") > 0) | (F.col("project") > 0)
-    minified = (F.col("space_share") < 0.06) & (F.col("longest_line_") > math.log1p(300)) & (F.col("odd_share") < 0.01)
-    table = (F.col("literal_share") >= 0.5) & (F.col("digit_share") >= 0.25)
-    data = ((F.col("literal_share") >= 0.6) | table) & (F.col("odd_share") < 0.01)
-    copied = (F.col("shared_slots") >= 7) & (F.col("shared_bands") >= 1) & (F.col("body_lines") >= 4)
-    return notice | minified | data | copied
+HIDDEN = ("space_share", "longest_line_", "literal_share", "digit_share")  # what the shapes that label minified files and data blobs are told by
+LEARNT = [c for c in FEATURES if c not in HIDDEN]
+COPY = ["shared_slots", "shared_bands", "places", "body_lines"]
+
+
+def shaped() -> Column:
+    """Unmistakable minified files (no white space on very long lines) and data blobs (next to nothing but literals): two kinds that seldom carry
+    a notice. They only teach; the columns that tell them are HIDDEN from the forest that learns from them."""
+    minified = (F.col("space_share") < 0.06) & (F.col("longest_line_") > math.log1p(300))
+    data = (F.col("literal_share") >= 0.6) | ((F.col("literal_share") >= 0.5) & (F.col("digit_share") >= 0.25))
+    return (minified | data) & (F.col("odd_share") < 0.01)
+
+
+def _weighted(df: DataFrame, columns: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
 
 
-def _labels_only(files: DataFrame) -> DataFrame:
-    hit = F.col("label") > 0
-    return files.select("directory", "file_path", hit.alias("label"), F.col("label").alias("score"), hit.alias("found"))
+def _crossed(train: DataFrame, score: DataFrame, columns: list[str], label: str, depth: int, leaf: int, out: str) -> DataFrame:
+    """score with `out`: the share of the votes for the label, of the forest fitted on the other fold's rows of train."""
+    spec = RandomForestClassifier(labelCol=label, numTrees=TREES, maxDepth=depth, minInstancesPerNode=leaf, subsamplingRate=0.8, seed=SEED, maxBins=32, featureSubsetStrategy="0.4", weightCol="weight")
+    known, df = _weighted(train, columns), _weighted(score, columns)
+    for k in (0, 1):
+        forest = spec.fit(known.where(F.col("fold") == k))
+        forest.setFeaturesCol("features").setPredictionCol(f"_y{k}").setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}")
+        df = forest.transform(df)
+    p = F.when(F.col("fold") == 1, vector_to_array("_p0")[1]).otherwise(vector_to_array("_p1")[1])
+    return df.select(*score.columns, p.alias(out))
+
+
+def _both(df: DataFrame, label: str) -> bool:
+    """Whether both folds hold both classes."""
+    return df.select("fold", label).distinct().count() == 4
 
 
 def classify(chunks: DataFrame) -> DataFrame:
-    """directory, file_path, label (see `exemplar`), score (the forest's, corrected for unlabelled cases), found.
-
-    A file without a label need not be hand-written. So half of the trees learn the label on one half of at most SAMPLE_PER_CLASS files
-    of each class, the others on the other half; every file is scored by the trees that did not see its half, and the probability is
-    divided by the mean that labelled files get this way (learning from positive and unlabelled examples). A file is found when it
-    is labelled or when the corrected score is at least a half. NULL directories are one checkout; chunks without text
-    or path take no part; repeated chunks weigh twice in ratios and change nothing else. Where fewer than five files are labelled nothing can be
-    learnt and only the labelled ones are found.
+    """directory, file_path, label (a header notice), score (the forest's), found (labelled, or a score of at least FOUND).
+
+    Learning goes in two steps, on at most SAMPLE_PER_CLASS files of each class, each file scored by the forest that did not see its half:
+
+    1. A shallow forest learns the notices of foreign projects from what checkouts share. Files without a notice that it scores above the
+       average may be copies whose notice was taken away; they are no examples of hand-written files.
+    2. A forest learns noticed and `shaped` files against the rest, without the columns that the labels are told by, and scores every file. Among
+       the rest are cases too, so the score is divided by the mean of the noticed files' (learning from positive and unlabelled examples).
+
+    NULL directories are one checkout; chunks without text or path take no part; repeated chunks weigh twice in ratios and change nothing
+    else. Where too few files are labelled (fewer than FEWEST, or none in some half) nothing can be learnt and only noticed ones are found.
     """
-    files = cut(file_features(chunks).withColumn("label", exemplar().cast("double")))
-    n = {r["label"]: r["count"] for r in files.groupBy("label").count().collect()}
-    pos, rest = n.get(1.0, 0), n.get(0.0, 0)
-    if pos < 5 or rest < 5:
-        return _labels_only(files)
+    notice, foreign = (F.col("tool") > 0) | (F.col("project") > 0), (F.col("project") > 0).cast("double")
+    marks = {"notice": notice, "case": (notice | shaped()).cast("double"), "foreign": foreign, "fold": F.pmod(F.xxhash64(F.lit(SEED), "directory", "file_path"), F.lit(2))}
+    files = cut(file_features(chunks).withColumns(marks))
+    n = {r["case"]: (r["n"], r["f"]) for r in files.groupBy("case").agg(F.count(F.lit(1)).alias("n"), F.sum("foreign").alias("f")).collect()}
+    (pos, copied), rest = n.get(1.0, (0, 0)), n.get(0.0, (0, 0))[0]
+    notices_only = files.select("directory", "file_path", F.col("notice").alias("label"), F.col("notice").cast("double").alias("score"), F.col("notice").alias("found"))
+    if pos < FEWEST or rest < FEWEST:
+        return notices_only
+    hit = F.col("case") > 0
     h = F.pmod(F.xxhash64("directory", "file_path"), F.lit(1 << 20)) / (1 << 20)
-    share = F.when(F.col("label") > 0, min(1.0, SAMPLE_PER_CLASS / pos)).otherwise(min(1.0, SAMPLE_PER_CLASS / rest))
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(files.withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED), "directory", "file_path"), F.lit(2))))
+    share = F.when(hit, min(1.0, SAMPLE_PER_CLASS / pos)).otherwise(min(1.0, SAMPLE_PER_CLASS / rest))
     # a row weighs as many files as it stands for, so that the sample's bound doesn't change the balance of the classes
-    sample = ready.where(h < share).select("features", "label", "fold", (1 / share).alias("weight")).coalesce(2).persist()
-    spec = RandomForestClassifier(numTrees=TREES // 2, maxDepth=DEPTH, minInstancesPerNode=4, subsamplingRate=0.8, seed=SEED, maxBins=32, featureSubsetStrategy="0.4", weightCol="weight")
-    some = lambda k: sample.where(F.col("fold") == k)
-    if some(0).select("label").distinct().count() < 2 or some(1).select("label").distinct().count() < 2:
-        sample.unpersist()
-        return _labels_only(files)
-    forests = [spec.fit(some(k)) for k in (0, 1)]
-
-    def crossed(df: DataFrame) -> DataFrame:
-        """Each row scored by the forest that did not see its fold."""
-        for k, forest in enumerate(forests):
-            forest.setFeaturesCol("features").setPredictionCol(f"_y{k}").setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}")
-            df = forest.transform(df)
-        return df.withColumn("p", F.when(F.col("fold") == 1, vector_to_array("_p0")[1]).otherwise(vector_to_array("_p1")[1]))
-
-    c = crossed(sample).where("label > 0").agg(F.avg("p")).first()[0] or 0.5
-    sample.unpersist()
-    scored = crossed(ready).withColumn("score", F.least(F.col("p") / F.lit(float(c)), F.lit(1.0)))
-    found = (F.col("label") > 0) | (F.col("score") >= 0.5)
-    return scored.select("directory", "file_path", (F.col("label") > 0).alias("label"), "score", found.alias("found"))
+    sample = cut(files.where(h < share).withColumn("weight", 1 / share).coalesce(2))
+    known = sample
+    if copied >= FEWEST and _both(sample, "foreign"):
+        suspect = _crossed(sample, sample, COPY, "foreign", 4, max(4, sample.count() // LEAVES), "_c")
+        known = cut(suspect.where(hit | (F.col("_c") <= copied / (pos + rest))))
+    if not _both(known, "case"):
+        return notices_only
+    scored = cut(_crossed(known, files.select("directory", "file_path", "notice", "fold", *LEARNT), LEARNT, "case", DEPTH, 4, "p").select("directory", "file_path", "notice", "p"))
+    c = scored.where("notice").agg(F.avg("p")).first()[0] or 0.5  # what a case can reach among cases that pass for others
+    score = F.least(F.col("p") / F.lit(float(c)), F.lit(1.0))
+    return scored.select("directory", "file_path", F.col("notice").alias("label"), score.alias("score"), (F.col("notice") | (score >= FOUND)).alias("found"))
