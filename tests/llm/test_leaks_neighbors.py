@@ -128,7 +128,7 @@ def test_recall(spark):
 
 
 def test_hot_group_and_dirt(spark, monkeypatch):
-    monkeypatch.setattr(neighbors, "GROUP_QUERIES", 100)
+    monkeypatch.setattr(neighbors, "GROUP_MOST", 100)
     x = clustered(600, seed=1)
     x[:200] = x[0]
     bad = [("n", None), ("e", []), ("z", [0.0] * 64), ("s", [1.0] * 32), ("nan", [float("nan")] * 64), ("inf", [float("inf")] + [1.0] * 63), (None, [1.0] * 64)]
@@ -149,21 +149,29 @@ def test_products_of_a_hot_list_are_bounded():
     x = np.repeat(clustered(1), 6000, axis=0)
     x[::50] = clustered(120, seed=2)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ids = np.array([str(i) for i in range(6000)], object)
-    s = neighbors.Searcher(10, 64)
-    s.ids, s.vecs, s.lists = list(ids), list(x), [0] * 6000
-    s.close_queries()
+    keys = np.arange(6500)
+    both = np.concatenate([x, x[:500]])
+    q, c = neighbors.Queries(x, keys[:6000], 10), neighbors.Lists(both, keys, (keys >= 6000).astype(int))
     tracemalloc.start()
-    s.scan(0, neighbors.Candidates(x, ids))
-    s.scan(0, neighbors.Candidates(x[:500], ids[:500], 6000))
+    q.scan(np.arange(6000), c, *c.span[0])
+    q.scan(np.arange(6000), c, *c.span[1])
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 250e6
     want = np.sort(x[:200] @ x.T - 2 * np.eye(200, 6000), axis=1)[:, :-11:-1]
-    assert np.allclose(s.top[1:50], want[1:50], atol=1e-5) and (s.who[:200] != np.arange(200)[:, None]).all()
+    assert np.allclose(q.top[1:50], want[1:50], atol=1e-5) and (q.who[:200] != np.arange(200)[:, None]).all()
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 5])
 def test_few(spark, n):
     got = neighbors.neighbors(frame(spark, clustered(max(n, 1))).limit(n)).count()
     assert got == n * (n - 1)
+
+
+def test_two_levels_of_centres(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "FLAT_LISTS", 20)
+    monkeypatch.setattr(neighbors, "SAMPLE", 1000)
+    x = clustered(4000, seed=3)
+    df = frame(spark, x).select(F.xxhash64("id").alias("h"), "vector")
+    c = neighbors.fit_centres(df, 4000, neighbors.rotation(64))
+    assert 40 <= len(c) <= 90 and np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-4)
