@@ -93,7 +93,10 @@ def test_judged(spark, monkeypatch):
 
 
 def test_deep_nesting_does_not_crash():
-    assert syntax.parse("js", "x = " + "(" * 20000 + "1" + ")" * 20000) is None or True
+    assert syntax.judge("js", "x = " + "(" * 20000 + "1" + ")" * 20000) is None
+    assert syntax.judge("js", "x = " + "(" * 20000 + "1" + ")" * 19999)
+    deep = "[" * 100_000
+    assert syntax.judge("json", deep + "]" * 100_000) is None and syntax.judge("json", deep + "]" * 99_999) and syntax.judge("json", deep + "," + "]" * 100_000)
     with pytest.raises(grammars.Bad):
         grammars.check("js", "(" * 50)
 
@@ -162,3 +165,51 @@ def test_error_inside_a_conditional_group(text):
 )
 def test_some_branch_of_every_group_is_valid(text):
     assert syntax.parse("c", text) is None
+
+
+SAMPLES = {
+    "python": ('x = """a(\n', 'b[""" + [1,\\\n 2][0]\n# (\n'),
+    "js": ("let t = `a ${ {b: 1}.b } (\n", "${'`'}`;\nlet r = /[(]/;\n"), "ts": ("interface A {\n", "b: string /* { */\n}\n"), "java": ("class A { /* (\n", "*/ String s = \"{\"; }\n"),
+    "go": ("package m\nvar s = `(\n", "{`\n"), "c": ("#define A(x \\\n", "{\nint a[2] = {1, ')'};\n"), "json": ('{"a": [1, "]",\n', "2]}\n"), "toml": ("a = [ # ]\n", "1, '[']\n[t]\n"),
+    "xml": ("<a b='>'><!-- <c>\n", "--><d/></a>\n"),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(set(syntax.LANGUAGES.values())))
+def test_every_language_has_a_lexer_state_map(lang):
+    a, b = SAMPLES[lang]
+    maps = [syntax.summary(lang, a, True), syntax.summary(lang, b, False)]
+    assert len(maps[1]) > 1
+    whole = syntax.reduced(maps)
+    assert syntax.balanced(whole) and (syntax.balanced(maps[0]) is (lang == "c"))
+    assert syntax.judge(lang, a + b) is None or lang in ("java", "c")
+    assert not syntax.balanced(syntax.join(whole, syntax.summary(lang, "</x>" if lang == "xml" else "}\n", False)))
+
+
+@pytest.mark.parametrize("lang", ["python", "js", "go", "java", "json"])
+def test_statements_of_pieces_agree_with_the_whole(lang, monkeypatch):
+    monkeypatch.setattr(syntax, "GROUP", 60)
+    unit = {"python": "@d\ndef f{i}(a):\n    return (a,\n  '(')\n\n", "js": "export function f{i}(a) {\n  return `${a}}`;\n}\n", "go": "func f{i}() {\n\tx := `(`\n\tg(x)\n}\n\n", "java": "class A{i} {\n  int x = 1;\n}\n", "json": '{"a{i}": [1, "]"]},\n'}[lang]
+    body = "".join(unit.replace("{i}", str(i)) for i in range(30))
+    text = {"go": "package m\n\n" + body, "json": "[" + body + "1]"}.get(lang, body)
+    cuts = syntax.starts(lang, text)
+    assert len(cuts) >= 29 and "".join(syntax.groups(text, cuts, 60)) == text and syntax.judge(lang, text) is None
+    for i in range(0, len(text), 97):
+        for extra in ("\x01", ",", "]"):
+            broken = text[:i] + extra + text[i:]
+            assert (syntax.judge(lang, broken) is None) == (syntax.parse(lang, broken) is None)
+
+
+def test_a_long_file_is_parsed_in_several_tasks(spark, tmp_path):
+    unit = "def f{}(a):\n    b = [a, (1, '{{')]\n    return b\n\n"
+    text = "".join(unit.format(i) for i in range(110_000))[:5_000_000].rsplit("def ", 1)[0]
+    parts = syntax.pieces(text)
+    assert len(parts) > 10 and all(syntax.starts("python", p) for p in parts)
+    half = text.index("def f50000(")
+    doc = "[" + ",\n".join('{"a": [%d, "]"]}' % i for i in range(40_000)) + "]"
+    rows = [(1, "d", "a.py", "code", text), (2, "d", "b.py", "code", text[:half] + "def (\n" + text[half:]), (3, "d", "c.py", "code", text + "x = (\n"), (4, "d", "d.json", "structured_data", doc), (5, "d", "e.json", "structured_data", doc[:-1] + ",]")]
+    df = spark.createDataFrame(rows, "file_id bigint, directory string, file_path string, content_type string, text string")
+    seen = spark.sparkContext.accumulator(0)
+    got = {r["file_id"]: r["error"] is None for r in syntax.judged(df, seen).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False}
+    assert seen.value >= 30  # pieces of which whole statements were parsed where they lay
