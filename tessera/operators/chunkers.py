@@ -45,7 +45,7 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 BLOCK = 512  # parts of an inner fold
 
 
-def _fold(parts: Column, carry: dict[str, Column], step: Callable[[Column, Column], Column], done: Callable[[Column], Column]) -> Column:
+def fold(parts: Column, carry: dict[str, Column], step: Callable[[Column, Column], Column], done: Callable[[Column], Column]) -> Column:
     """Folds parts into a struct of `out` (the pieces so far) and the fields of carry.
 
     Every step of an `aggregate` copies its state. So parts are folded in blocks whose own `out` stays short, and the long one is touched once a
@@ -78,7 +78,7 @@ def _pack(parts: Column, sep: str, size: int, oversize: Callable[[Column], Colum
             .otherwise(F.struct(flushed.alias("out"), part.alias("cur")))
         )
 
-    return _fold(parts, {"cur": F.lit("")}, step, lambda acc: F.concat(acc["out"], tidy(acc["cur"])))
+    return fold(parts, {"cur": F.lit("")}, step, lambda acc: F.concat(acc["out"], tidy(acc["cur"])))
 
 
 def _level(text: Column, size: int, level: int) -> Column:
@@ -122,7 +122,7 @@ def csv(text: Column, size: int) -> Column:
 
         rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
         done = lambda acc: F.when(F.size(acc["rows"]) > 0, F.concat(acc["out"], F.array(group(head, acc["rows"])))).otherwise(acc["out"])
-        return _fold(rest, {"rows": F.array().cast(_STRINGS), "n": F.length(head)}, step, done)
+        return fold(rest, {"rows": F.array().cast(_STRINGS), "n": F.length(head)}, step, done)
 
     pieces = bound(_parts(strip(F.coalesce(text, F.lit(""))), "\n"), lambda lines: bound(F.get(lines, F.lit(0)), lambda head: grouped(lines, head)))
     return F.when(is_blank(text), F.array().cast(_STRINGS)).otherwise(pieces)
