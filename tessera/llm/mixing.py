@@ -165,3 +165,22 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: i
         )
     )
     return out, shares
+
+
+def checked(mixed: DataFrame, documents: DataFrame, targets: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """source, texts (distinct texts there are), once: no text comes twice in one repeat; capped: no text more often than max_repeats; met: the
+    share of the whole is reached within the tolerance, or all texts came max_repeats times."""
+    want = clean_targets(targets)
+    texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(source_key(F.col("source")).alias("source"), F.sha2("text", 256).alias("h"))
+    have = texts.groupBy("source").agg(F.countDistinct("h").alias("texts"))
+    uses = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("repeat_no").alias("r"), F.sum("n_tokens").alias("t"))
+    got = uses.groupBy("source").agg(F.sum("t").alias("t"), F.max("n").alias("most"), F.bool_and(F.col("n") == F.col("r")).alias("once"), F.sum("n").alias("rows"))
+    whole = got.agg(F.sum("t")).scalar()
+    all_weight = want.join(have, "source", "left_semi").agg(F.sum("weight")).scalar()
+    rows = want.join(have, "source", "left").join(got, "source", "left")
+    n = F.coalesce("texts", F.lit(0))
+    spent = F.coalesce("rows", F.lit(0)) >= n * F.col("max_repeats")
+    return rows.select(
+        "source", n.cast("bigint").alias("texts"), F.coalesce("once", F.lit(True)).alias("once"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"),
+        (spent | (F.coalesce(F.col("t") / whole, F.lit(0.0)) >= F.col("weight") / all_weight - tolerance)).alias("met"),
+    )

@@ -30,6 +30,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_split(spark, d).where("chunk_index > 0").select("item_kind", "item_id").distinct()
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.rebuilt(p2_split(spark, d), table(spark, d, "chunk_limits"))
+
+
 def p3_knn(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "points")
     return neighbors.with_payload(neighbors.neighbors(points), points)
@@ -79,6 +83,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.checked(p7_mix(spark, d), table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "documents"))
 
@@ -89,7 +97,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_scored, p2_found, p2_split, p3_found, p3_knn, p4_found, p4_terms, p5_found, p5_judged, p5_rates, p6_found, p6_leaks, p6_report, p7_mix, p7_shares, p8_found, p8_repaired)
+    for f in (p1_found, p1_scored, p2_found, p2_rebuilt, p2_split, p3_found, p3_knn, p4_found, p4_terms, p5_found, p5_judged, p5_rates, p6_found, p6_leaks, p6_report, p7_checked, p7_mix, p7_shares, p8_found, p8_repaired)
 }
 
 _TERMS = """
@@ -111,5 +119,30 @@ SELECT 'file' AS item_kind, CAST(file_id AS VARCHAR) AS item_id FROM extractions
 UNION
 SELECT 'chunk', id FROM chunks c JOIN chunk_limits l
   ON coalesce(c.content_type, 'plain_text') = coalesce(l.content_type, 'plain_text') WHERE length(text) > chunk_size + chunk_overlap
+""",
+    "p2_rebuilt": f"""
+SELECT 'file' AS item_kind, CAST(file_id AS VARCHAR) AS item_id, length({_STRIP}) AS n_chars, md5({_STRIP}) AS text_md5, true AS within, true AS lapped, true AS natural FROM extractions x JOIN chunk_limits l
+  ON coalesce(x.content_type, 'plain_text') = coalesce(l.content_type, 'plain_text') WHERE length({_STRIP}) > chunk_size
+UNION
+SELECT 'chunk', id, length(text), md5(text), true, true, true FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(text) DESC, text DESC) AS n FROM chunks) c JOIN chunk_limits l
+  ON coalesce(c.content_type, 'plain_text') = coalesce(l.content_type, 'plain_text') WHERE n = 1 AND length(text) > chunk_size + chunk_overlap
+""",
+    "p3_found": """
+WITH u AS (SELECT id, max(vector) AS v FROM points WHERE id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+                  AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY id),
+     s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) AS c FROM u a, u b WHERE a.id <> b.id),
+     r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC) AS n FROM s)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE n <= 10 AND c >= 0.9
+""",
+    "p6_found": r"""
+WITH norm AS (SELECT 'd' AS kind, doc_id AS k, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items),
+     w AS (SELECT kind, k, regexp_extract_all(regexp_replace(lower(strip_accents(regexp_replace(text, '[\x{ad}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}\x{fe00}-\x{fe0f}]', '', 'g'))), '[\x{300}-\x{36f}]', '', 'g'), '[\p{L}\p{N}]+') AS w FROM norm),
+     g AS (SELECT DISTINCT kind, k, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT kind, k, w, unnest(range(1, len(w) - 10)) AS i FROM w WHERE len(w) >= 12))
+SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM g d JOIN g i ON d.g = i.g WHERE d.kind = 'd' AND i.kind = 'i'
+""",
+    "p7_checked": r"""
+WITH k AS (SELECT regexp_replace(lower(trim(source)), '[_\s]+', '-', 'g') AS source FROM mix_targets WHERE source IS NOT NULL AND weight > 0),
+     t AS (SELECT regexp_replace(lower(trim(source)), '[_\s]+', '-', 'g') AS source, count(DISTINCT text) AS texts FROM documents WHERE length(text) > 0 AND doc_id IS NOT NULL GROUP BY 1)
+SELECT k.source, CAST(coalesce(max(texts), 0) AS BIGINT) AS texts, true AS once, true AS capped, true AS met FROM k LEFT JOIN t ON k.source = t.source GROUP BY k.source
 """,
 }

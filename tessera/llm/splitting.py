@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
+from tessera.operators.chunkers import fold
 from tessera.session import spread
 
 #: What a piece may end behind, from strong to weak: blank line, line end, sentence end, white space.
@@ -30,21 +31,16 @@ def pattern(limit: Column) -> Column:
 
 
 def overlapped(raw: Column, overlap: Column) -> Column:
-    """Prefix each piece but the first with the `overlap` code points that precede it in the text.
+    """Prefix each piece but the first with the `overlap` code points that precede it in the text (fewer where there are not so many).
 
-    Where the piece before is shorter than the overlap, more predecessors are joined; their number is taken from the shortest piece
-    that is not last.
+    The pieces are folded with the end of the text so far, so that short pieces cost no more than long ones.
     """
-    shortest = F.coalesce(F.array_min(F.transform(F.slice(raw, F.lit(1), F.greatest(F.size(raw) - 1, F.lit(0))), F.length)), F.lit(1))
-    back = F.ceil(overlap / F.greatest(shortest, F.lit(1))).cast("int")
 
-    def one(piece: Column, i: Column) -> Column:
-        first = F.greatest(i - back, F.lit(0))
-        last = F.get(raw, i - 1)
-        before = F.when(F.length(last) >= overlap, last).otherwise(F.array_join(F.slice(raw, first + 1, i - first), ""))
-        return F.when((i > 0) & (overlap > 0), F.concat(F.right(before, overlap), piece)).otherwise(piece)
+    def step(acc: Column, piece: Column) -> Column:
+        whole = F.concat(acc["tail"], piece)
+        return F.struct(F.concat(acc["out"], F.array(whole)).alias("out"), F.right(whole, overlap).alias("tail"))
 
-    return F.transform(raw, one)
+    return F.when(overlap > 0, fold(raw, {"tail": F.lit("")}, step, lambda acc: acc["out"])).otherwise(raw)
 
 
 def split(items: DataFrame, key: list[str], size_col: str = "chunk_size", overlap_col: str = "chunk_overlap") -> DataFrame:
@@ -95,3 +91,25 @@ def oversized(extractions: DataFrame, chunks: DataFrame, limits: DataFrame) -> D
 def split_oversized(extractions: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """Ordered pieces of every oversized file and chunk, with the metadata of its origin (see `oversized` and `split`)."""
     return split(oversized(extractions, chunks, limits), ["item_kind", "item_id"])
+
+
+def rebuilt(pieces: DataFrame, limits: DataFrame) -> DataFrame:
+    """item_kind, item_id, n_chars, text_md5 of what the pieces of each item give without their overlaps; within: no piece exceeds its limit;
+    lapped: every overlap repeats what stands before it; natural: no piece but the last ends inside a word unless it holds no white space."""
+    kind = F.coalesce("content_type", F.lit("plain_text"))
+    lim = limits.select(F.coalesce("content_type", F.lit("plain_text")).alias("_type"), "chunk_size", F.coalesce("chunk_overlap", F.lit(0)).alias("chunk_overlap"))
+    rows = pieces.join(F.broadcast(lim.groupBy("_type").agg(F.max("chunk_size").alias("size"), F.max("chunk_overlap").alias("over"))), kind == F.col("_type"))
+    item = rows.groupBy("item_kind", "item_id").agg(F.first("size").alias("size"), F.first("over").alias("over"), F.sort_array(F.collect_list(F.struct("chunk_index", "piece"))).alias("p"))
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("last"), F.lit(True).alias("within"), F.lit(True).alias("lapped"), F.lit(True).alias("natural"))
+
+    def step(acc: Column, r: Column) -> Column:
+        lap = F.least(F.col("over"), F.length(acc["text"]))
+        raw = F.substring(r["piece"], lap + 1, F.length(r["piece"]))
+        cut_well = (acc["last"] == "") | acc["last"].rlike(r"[\s.!?;。！？]\z") | ~acc["last"].rlike(r"\s")
+        return F.struct(
+            F.concat(acc["text"], raw).alias("text"), raw.alias("last"), (acc["within"] & (F.length(raw) <= F.col("size"))).alias("within"),
+            (acc["lapped"] & (F.left(r["piece"], lap) == F.right(acc["text"], lap))).alias("lapped"), (acc["natural"] & cut_well).alias("natural"),
+        )
+
+    out = item.withColumn("r", F.aggregate("p", start, step))
+    return out.select("item_kind", "item_id", F.length("r.text").cast("bigint").alias("n_chars"), F.md5("r.text").alias("text_md5"), "r.within", "r.lapped", "r.natural")

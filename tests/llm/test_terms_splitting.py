@@ -67,3 +67,18 @@ def test_oversized(spark):
     out = splitting.split_oversized(ex, ch, lim)
     assert out.where("item_id = 'b'").count() == 2 and out.where("item_id = '2'").first()["meta"] == {"k": "v"}
     assert splitting.split_oversized(ex.where("false"), ch.where("false"), lim).count() == 0
+
+
+def test_no_hard_cut_where_a_piece_holds_a_boundary(spark):
+    """Random texts of words of any length: the pieces give the text again, keep the limits, and cut inside a word only where there is no other way."""
+    rng = random.Random(8)
+    bits = ["a", "word", "x" * 30, "z" * 90, " ", "\n", "\n\n", ". ", "! ", "\t", "\u3000", "。", "é"]
+    texts = ["Short first sentence here.\n\n" + "x" * 3000, " ".join(["word"] * 60) + " " + "y" * 900, *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 200))) for _ in range(300))]
+    rows = [("file", str(i), t, None, s, o) for i, t in enumerate(texts) for s, o in [(40, 0), (25, 7), (100, 60)]]
+    for size, overlap in ((40, 0), (25, 7), (100, 60)):
+        df = spark.createDataFrame([r for r in rows if r[4:] == (size, overlap)], "item_kind string, item_id string, text string, content_type string, chunk_size int, chunk_overlap int")
+        limits = spark.createDataFrame([(None, size, overlap)], "content_type string, chunk_size int, chunk_overlap int")
+        got = splitting.rebuilt(splitting.split(df, ["item_kind", "item_id"]), limits)
+        want = {r[1]: r[2] for r in rows}
+        done = got.collect()
+        assert len(done) == len(texts) and all(r["n_chars"] == len(want[r["item_id"]]) and r["within"] and r["lapped"] and r["natural"] for r in done)
