@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import json
 import os
 import warnings
 from collections.abc import Callable
@@ -33,7 +32,8 @@ def _query_vector(index: Index, query: str) -> list[float]:
 
 
 def search(index: Index, directory: str, query: str, n_results: int | None = None, everywhere: bool = True) -> DataFrame:
-    """Hybrid search: twice the number of results from each ranking, fused, cut. `everywhere` searches all directories."""
+    """Hybrid search: twice the number of results from each ranking, fused, cut. The vectors of all directories are searched if `everywhere`; terms
+    and their statistics are always those of the directory."""
     directory = _ready(index, directory)
     n = index.settings.clamp(n_results)
     chunks = index.chunks.read()
@@ -43,7 +43,8 @@ def search(index: Index, directory: str, query: str, n_results: int | None = Non
     if not index.settings.hybrid_search_enabled:
         top = sem.orderBy(F.desc("score"), "id").limit(n)
     else:
-        lex = lexical.topk(scope.select("id", "tokens", "dl"), query, 2 * n, index.settings)
+        here = chunks.where(F.col("directory") == directory)
+        lex = lexical.topk(here.select("id", "tokens", "dl"), query, 2 * n, index.settings)
         fused = fusion.fuse(fusion.ranked(sem, "score", "sem_rank"), fusion.ranked(lex, "bm25_score", "bm_rank"), index.settings)
         top = fusion.best(fused, n).withColumnRenamed("fused_score", "score")
     # payload columns are fetched for the winners only
@@ -79,10 +80,16 @@ def _files(index: Index, directory: str) -> DataFrame:
     return f.select(F.col("root").alias("directory"), F.col("rel_path").alias("file_path"), "size", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def get_context(index: Index, directory: str) -> dict:
-    """The overview of a directory as a small dictionary (every part is capped)."""
+def get_context(index: Index, directory: str, fresh: bool = False) -> dict:
+    """The overview of a directory as a small dictionary (every part is capped). It is kept with the directory's fingerprint (the git commit, or
+    number and size of the files at the root) and served from there while that stays the same, unless `fresh`."""
     directory = os.path.abspath(directory)
     files = _files(index, directory).persist()
+    now = overview.current_fingerprint(directory, files)
+    kept = None if fresh else overview.cached(index.overviews, directory, now)
+    if kept is not None:
+        files.unpersist()
+        return kept
     key = ["directory"]
     rows = lambda df: [r.asDict() for r in df.drop("directory").collect()]
     out = {
@@ -95,6 +102,7 @@ def get_context(index: Index, directory: str) -> dict:
         "structure": [r["line"] for r in overview.tree(files, key).orderBy("position").collect()],
     }
     files.unpersist()
+    index.save_overview(directory, out, now)
     return out
 
 
@@ -109,7 +117,7 @@ def get_dependency_graph(index: Index, directory: str, file_pattern: str = "") -
     return structure.graph(structure.edges(structure.imports(code, ["file_path"]), f)).orderBy("src")
 
 
-# --- text ---------------------------------------------------------------------------------------------------------------------------
+# --- text (the wording is a fixed value) ---------------------------------------------------------------------------------------------------------------------------
 
 
 def render_hits(hits: DataFrame, query: str, directory: str, pattern: str | None = None) -> str:
@@ -158,8 +166,30 @@ def render_graph(g: DataFrame) -> str:
     return "\n".join(out)
 
 
+# How much of each part the text shows.
+SHOWN_LANGUAGES, SHOWN_PATHS, SHOWN_DEPENDENCIES, SHOWN_LINES = 10, 5, 15, 50
+
+
 def render_context(o: dict) -> str:
-    return json.dumps(o, indent=2, ensure_ascii=False)
+    """The overview as text. Headings and layout are fixed values."""
+    out = [f"Directory: {o['directory']}", f"Total files: {o['total_files']}"]
+    part = lambda title, lines: out.extend([f"\n## {title}", *lines]) if lines else None
+    part("Languages (by file count)", [f"  {r['extension']:12s} {r['files']:4d} files  {r['lines']:6d} lines" for r in o["languages"][:SHOWN_LANGUAGES]])
+    part("Project Type", [f"  {r['file']} → {r['label']}" for r in o["manifests"]])
+    by: dict[str, list] = {}
+    for r in o["key_files"]:
+        by.setdefault(r["category"], []).append(r["file_path"])
+    part("Key Files", [f"  {k}: {', '.join(v[:SHOWN_PATHS])}" for k, v in by.items()])
+    needs = []
+    for r in o["dependencies"]:
+        needs.append(f"  {r['ecosystem']}: {r['name']} {r['version']}")
+        needs += [f"    - {d}" for d in r["requires"][:SHOWN_DEPENDENCIES]]
+        if (more := len(r["requires"]) - SHOWN_DEPENDENCIES) > 0:
+            needs.append(f"    ... and {more} more")
+    part("Dependencies", needs)
+    more = len(o["structure"]) - SHOWN_LINES
+    part("Directory Structure", [f"  {x}" for x in o["structure"][:SHOWN_LINES]] + ([f"  ... ({more} more entries)"] if more > 0 else []))
+    return "\n".join(out)
 
 
 # --- older names ---------------------------------------------------------------------------------------------------------------------

@@ -25,13 +25,13 @@ class Settings:
     rrf_k: int = 60
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
-    upsert_batch: int = 100
     skip_directories: tuple[str, ...] = (
         "node_modules", "__pycache__", "venv", ".venv", "dist", "build", ".git", ".idea", ".vscode", "target", ".gradle",
     )
     # our own
     embedding_provider: str = "hash"
     embedding_dim: int = 384
+    ingest_batch: int = 2000  # files that are indexed and committed at once
     extra_skip: tuple[str, ...] = field(default=(DATA_DIR,))
 
     @property

@@ -247,7 +247,22 @@ def json_groups(text: str, size: int) -> list[str]:
     return [json.dumps(g, indent=2) for g in groups]
 
 
-def python_chunks(text: str, content_type: str | None, meta: dict, size: int, overlap: int) -> list[tuple[str, str | None]]:
+Chunker = Callable[[str, dict, int, int], list]
+_CUSTOM: dict[str, Chunker] = {}
+
+
+def register(content_type: str, chunker: Chunker | None) -> None:
+    """Makes chunker(text, meta, size, overlap) -> chunks, or (chunk, section title) pairs, the one of a content type; None brings the own one back.
+    The last registration wins. It runs in Python batches."""
+    if chunker is None:
+        _CUSTOM.pop(content_type, None)
+    else:
+        _CUSTOM[content_type] = chunker
+
+
+def python_chunks(text: str, content_type: str | None, meta: dict, size: int, overlap: int, custom: dict[str, Chunker] | None = None) -> list[tuple[str, str | None]]:
+    if custom and content_type in custom:
+        return [c if isinstance(c, tuple) else (c, None) for c in custom[content_type](text, meta, size, overlap)]
     if content_type == "code":
         return [(c, None) for c in code(text, size, overlap, meta.get("language"))]
     if content_type == "markdown":
@@ -263,7 +278,8 @@ def chunk(docs: DataFrame, key: list[str], size: int = 1000, overlap: int = 200)
     """
     form = F.lower(F.coalesce(F.element_at("meta", "format"), F.lit("")))
     kind = F.coalesce("content_type", F.lit("plain_text"))
-    in_python = kind.isin("code", "markdown") | ((kind == "structured_data") & (form == "json"))
+    custom = dict(_CUSTOM)
+    in_python = kind.isin("code", "markdown", *custom) | ((kind == "structured_data") & (form == "json"))
     cols = [*key, "content_type", "meta"]
     pieces = (
         F.when(kind == "document", paragraph(F.col("text"), size, overlap))
@@ -275,7 +291,7 @@ def chunk(docs: DataFrame, key: list[str], size: int = 1000, overlap: int = 200)
     @F.pandas_udf("array<struct<chunk:string,section_title:string>>")
     def split(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, ct, lang, fm in batches:
-            yield pd.Series([[{"chunk": c, "section_title": s} for c, s in python_chunks(t, k, {"language": g, "format": f}, size, overlap)] for t, k, g, f in zip(text, ct, lang, fm)])
+            yield pd.Series([[{"chunk": c, "section_title": s} for c, s in python_chunks(t, k, {"language": g, "format": f}, size, overlap, custom)] for t, k, g, f in zip(text, ct, lang, fm)])
 
     lang = F.element_at("meta", "language")
     other = docs.where(in_python & ~is_blank(F.col("text"))).select(*cols, F.posexplode(split("text", "content_type", lang, form)).alias("chunk_index", "_c"))

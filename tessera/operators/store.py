@@ -1,22 +1,32 @@
-"""Chunk, vector and corpus tables on parquet: versions behind a pointer, replaced as a whole and never overwritten in place."""
+"""Chunk, vector and corpus tables on parquet: versions behind a pointer, replaced bucket by bucket and never overwritten in place."""
 
 from __future__ import annotations
 
 import json
 import re
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+BUCKETS = 64
 
 
 class Store:
-    """A versioned table in a shared folder. A reader sees the version that the pointer names; a writer adds a version, then moves the
-    pointer by an atomic rename. Any Hadoop file system that renames atomically will do."""
+    """A versioned table in a shared folder. A reader sees the files that the pointer names; a writer adds a version, then moves the
+    pointer by an atomic rename. Any Hadoop file system that renames atomically will do.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    With keys, rows lie in `buckets` buckets by a hash of their keys (as many as were named when the table was made; take some per hundred
+    gigabytes), and `update` reads and writes only the buckets that the changed keys fall into. Within a bucket's files rows are sorted by
+    directory where there is one, so that a filter on it skips row groups.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = (), buckets: int = BUCKETS):
+        self.spark, self.path, self.keys, self._buckets = spark, path.rstrip("/"), tuple(keys), buckets
         jvm = spark.sparkContext._jvm
         self._p = jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -49,32 +59,78 @@ class Store:
     def exists(self) -> bool:
         return self.state() is not None
 
+    def _paths(self, state: dict, only: set[int] | None = None) -> list[str]:
+        if state.get("parts") is None:
+            return [f"{self.path}/{state['version']}"]
+        return [f"{self.path}/{v}/bucket={b}" for b, v in state["parts"].items() if only is None or int(b) in only]
+
+    def _load(self, state: dict, only: set[int] | None = None) -> DataFrame:
+        schema = StructType.fromJson(state["schema"])
+        paths = self._paths(state, only)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def read(self) -> DataFrame:
         s = self.state()
         if s is None:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/{s['version']}")
+        return self._load(s)
 
     def load(self) -> DataFrame | None:
         return self.read() if self.exists() else None
 
-    def write(self, df: DataFrame, **properties) -> str:
-        s = self.state() or {"number": 0, "properties": {}}
+    def buckets(self, state: dict | None = None) -> int:
+        return ((state or self.state()) or {}).get("buckets") or self._buckets
+
+    def _bucket(self, n: int) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(n)).cast("int")
+
+    def _save(self, df: DataFrame, state: dict | None, touched: set[int] | None, properties: dict) -> str:
+        s = state or {"number": 0, "properties": {}}
         number = s["number"] + 1
         version = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{version}")
-        self._write_text(f"{self.path}/current.json", json.dumps({"version": version, "number": number, "properties": s["properties"] | properties}))
+        new = {"version": version, "number": number, "properties": s["properties"] | properties, "schema": df.schema.jsonValue(), "before": self._versions(s)}
+        if self.keys:
+            n = self.buckets(state)
+            order = ["bucket", *[c for c in ("directory",) if c in df.columns]]
+            # rebalancing splits a large bucket and gathers small ones, so that no task writes a hot bucket alone
+            df.withColumn("bucket", self._bucket(n)).hint("rebalance", "bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}/{version}")
+            made = {m[1]: version for f in self._fs.listStatus(self._p(f"{self.path}/{version}")) if (m := re.match(r"bucket=(\d+)$", f.getPath().getName()))}
+            kept = {b: v for b, v in (s.get("parts") or {}).items() if touched is not None and int(b) not in touched}
+            new |= {"buckets": n, "parts": kept | made}
+        else:
+            df.write.parquet(f"{self.path}/{version}")
+        self._write_text(f"{self.path}/current.json", json.dumps(new))
         return version
 
+    @staticmethod
+    def _versions(state: dict) -> list[str]:
+        return sorted({v for v in [state.get("version"), *(state.get("parts") or {}).values()] if v})
+
+    def write(self, df: DataFrame, **properties) -> str:
+        """Replaces the whole table."""
+        return self._save(df, self.state(), None, properties)
+
+    def update(self, changed: DataFrame, new: Callable[[DataFrame], DataFrame], **properties) -> list[int]:
+        """Replaces the buckets that the keys of `changed` fall into by what `new` makes of their rows; returns these buckets. `new` must
+        give rows of these buckets only."""
+        s = self.state()
+        if s is None or s.get("parts") is None:
+            raise ValueError("update needs a table that was written with keys")
+        touched = {r[0] for r in changed.select(self._bucket(self.buckets(s)).alias("b")).distinct().collect()}  # at most as many as there are buckets
+        if touched:
+            self._save(new(self._load(s, touched)), s, touched, properties)
+        return sorted(touched)
+
     def clean(self, keep: int = 2) -> None:
-        """Removes all but the newest `keep` versions and whatever an interrupted writer left."""
+        """Removes what the current state (with keep > 1 also the one before it) does not read, and whatever an interrupted writer left."""
         s = self.state()
         if s is None:
             return
-        seen = sorted(f.getPath().getName() for f in self._fs.listStatus(self._p(self.path)) if re.match(r"v\d{8}-", f.getPath().getName()))
-        old = [v for v in seen if v != s["version"]]
-        for v in old[: max(0, len(old) - keep + 1)]:
-            self._fs.delete(self._p(f"{self.path}/{v}"), True)
+        used = {*self._versions(s), *(s.get("before", []) if keep > 1 else [])}
+        for f in self._fs.listStatus(self._p(self.path)):
+            name = f.getPath().getName()
+            if re.match(r"v\d{8}-", name) and name not in used:
+                self._fs.delete(f.getPath(), True)
 
 
 def ensure(store: Store, dim: int, schema: str) -> bool:

@@ -482,7 +482,7 @@ def stream_incremental_upsert(spark: SparkSession, d: str) -> DataFrame:
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events")
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet*")
-    kept = S.Store(spark, f"{base}/events")
+    kept = S.Store(spark, f"{base}/events", ("user_id",))
     incremental.upsert_stream(source, kept, ["user_id"], ["ts", "event_id"], f"{base}/checkpoint")
     return kept.read().select("user_id", "event_id", "event_type", "value")
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from tessera.config import Settings
+from tessera.config import DATA_DIR, Settings
 from tessera.functions.text import file_name, suffix
 from tessera.sources import gitignore, registry
 
@@ -70,8 +72,8 @@ def walk(root: str, options: dict) -> list[str]:
 
 
 class Part(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], gone: bool = False):
+        self.paths, self.gone = paths, gone
 
 
 def read_files(root: str, paths: list[str]) -> Iterator[tuple]:
@@ -101,14 +103,44 @@ class Reader(DataSourceReader):
         return read_files(self.root, partition.paths)
 
 
-class StreamReader(SimpleDataSourceStreamReader):
-    """Each batch holds the files whose size or mtime differ from the offset's listing; the offset is the listing."""
+class Listings:
+    """Listings of the tree (path -> size:mtime) kept as files, so that an offset is a name and not the listing itself."""
+
+    def __init__(self, root: str, folder: str | None):
+        self.folder = folder or os.path.join(root, DATA_DIR, "listings")
+
+    def put(self, listing: dict) -> str:
+        data = json.dumps(listing, sort_keys=True).encode()
+        name = hashlib.sha256(data).hexdigest()
+        path = os.path.join(self.folder, name)
+        if not os.path.exists(path):
+            os.makedirs(self.folder, exist_ok=True)
+            with open(f"{path}.{os.getpid()}", "wb") as fh:
+                fh.write(data)
+            os.replace(fh.name, path)
+        return name
+
+    def get(self, name: str) -> dict:
+        if not name:
+            return {}
+        with open(os.path.join(self.folder, name), "rb") as fh:
+            return json.loads(fh.read())
+
+
+class StreamReader(DataSourceStreamReader):
+    """Each batch holds the files whose size or mtime differ between two listings. The driver lists names only; contents are read by the tasks
+    of the batch's partitions."""
 
     def __init__(self, options: dict):
         self.root = os.path.abspath(options.get("path", "."))
         self.options = options
+        self.deletions = options.get("deletions", "false") == "true"
+        self.listings = Listings(self.root, options.get("listings"))
 
-    def listing(self) -> dict:
+    def initialOffset(self) -> dict:
+        return {"listing": ""}
+
+    def latestOffset(self) -> dict:
         out = {}
         for rel in walk(self.root, self.options):
             try:
@@ -116,19 +148,24 @@ class StreamReader(SimpleDataSourceStreamReader):
                 out[rel] = f"{s.st_size}:{s.st_mtime}"
             except OSError:
                 pass
-        return out
-
-    def initialOffset(self) -> dict:
-        return {"files": {}}
+        return {"listing": self.listings.put(out)}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = self.listing()
-        changed = [p for p, v in now.items() if start["files"].get(p) != v]
-        return iter(list(read_files(self.root, changed))), {"files": now}
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        was, now = self.listings.get(start["listing"]), self.listings.get(end["listing"])
+        changed = [p for p, v in now.items() if was.get(p) != v]
+        gone = [p for p in was if p not in now] if self.deletions else []
+        n = FILES_PER_PARTITION
+        return [Part(changed[i : i + n]) for i in range(0, len(changed), n)] + [Part(gone[i : i + n], True) for i in range(0, len(gone), n)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        changed = [p for p, v in end["files"].items() if start["files"].get(p) != v]
-        return iter(list(read_files(self.root, changed)))
+    def read(self, partition: Part) -> Iterator[tuple]:
+        extra = (partition.gone,) if self.deletions else ()
+        if partition.gone:
+            for rel in partition.paths:
+                name = os.path.basename(rel)
+                yield (self.root, rel, name, py_suffix(name), None, None, None, *extra)
+            return
+        for row in read_files(self.root, partition.paths):
+            yield (*row, *extra)
 
     def commit(self, end: dict) -> None:
         pass
@@ -140,12 +177,12 @@ class FileTree(DataSource):
         return "filetree"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (", deleted boolean" if self.options.get("deletions") == "true" else "")
 
     def reader(self, schema) -> Reader:
         return Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> StreamReader:
+    def streamReader(self, schema) -> StreamReader:
         return StreamReader(dict(self.options))
 
 

@@ -93,3 +93,14 @@ def test_time_is_linear_in_the_text(spark):
             took[name, len(part)] = best
         half, whole = (v for k, v in took.items() if k[0] == name)
         assert whole < 5 and whole < 3 * half + 0.5, took
+
+
+def test_registered_chunker(spark):
+    df = spark.createDataFrame([("a", "p one\n\np two", "document", {"language": "x"}), ("b", "plain", None, None)], "k string, text string, content_type string, meta map<string,string>")
+    C.register("document", lambda text, meta, size, overlap: [(w, meta["language"]) for w in text.split("\n\n")])
+    try:
+        got = sorted((r["k"], r["chunk_index"], r["chunk"], r["section_title"]) for r in C.chunk(df, ["k"]).collect())
+    finally:
+        C.register("document", None)
+    assert got == [("a", 0, "p one", "x"), ("a", 1, "p two", "x"), ("b", 0, "plain", None)]
+    assert sorted(r["chunk"] for r in C.chunk(df, ["k"]).collect()) == ["p one\n\np two", "plain"]

@@ -1,5 +1,6 @@
 import os
 import subprocess
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,92 @@ def test_file_stream(spark, tree, tmp_path):
     finally:
         q.stop()
     assert "main.py" in set().union(*seen) and seen[-1] == {"src/more.py"}
+
+
+def test_deadline_keeps_what_was_finished(spark, tree, tmp_path, monkeypatch):
+    from tessera.config import Settings
+
+    ix = ingest.Index(spark, str(tmp_path / "ix"), Settings(ingest_batch=3))
+    step, seen = ix._step, []
+
+    def slow(directory, files, delta, done):
+        if len(seen) == 2:
+            raise RuntimeError("cancelled")
+        seen.append(1)
+        step(directory, files, delta, done)
+        if len(seen) == 2:
+            late[0].set()
+
+    late, event = [], threading.Event
+    monkeypatch.setattr(ingest.threading, "Event", lambda: late.append(event()) or late[-1])
+    monkeypatch.setattr(ix, "_step", slow)
+    r = ix.ingest(tree)
+    assert r["timed_out"] and r["files"] + r["skipped"] == 10 and 0 < r["skipped"] < 10
+    kept = {x["file_path"] for x in ix.chunks.read().select("file_path").distinct().collect()}
+    assert kept and ix.manifest.read().count() == r["files"] - r["failed"]
+    monkeypatch.undo()
+    again = ix.ingest(tree)
+    assert not again["timed_out"] and again["files"] == r["skipped"] + r["failed"]
+    assert kept < {x["file_path"] for x in ix.chunks.read().select("file_path").distinct().collect()}
+
+
+def test_git_tells_the_changes(spark, tmp_path):
+    root = tmp_path / "work"
+    root.mkdir()
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=root, check=True, capture_output=True)
+    run("init", "-q")
+    (root / "a.py").write_text("x = 1\n")
+    (root / "b.py").write_text("y = 1\n")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    ix = ingest.Index(spark, str(tmp_path / "ix"))
+    ix.ingest(str(root))
+    assert ix.changes(str(root)).count() == 0 and ix._commit(str(root)) == diff.head(str(root))
+    (root / "b.py").write_text("y = 2\n")
+    os.remove(root / "a.py")
+    (root / "c.py").write_text("z = 1\n")
+    assert {(r["rel_path"], r["change"]) for r in ix.changes(str(root)).collect()} == {("a.py", "deleted"), ("b.py", "modified"), ("c.py", "new")}
+    assert api.check_status(ix, str(root)).first()["recommendation"] == "consider re-indexing"
+
+
+def test_overview_is_kept_while_the_fingerprint_stays(spark, tree, tmp_path):
+    ix = ingest.Index(spark, str(tmp_path / "ix"))
+    first = api.get_context(ix, tree)
+    ix.save_overview(os.path.abspath(tree), first | {"total_files": -1}, ix.overviews.read().first()["fingerprint"])
+    assert api.get_context(ix, tree)["total_files"] == -1 and api.get_context(ix, tree, fresh=True)["total_files"] == first["total_files"]
+    with open(os.path.join(tree, "new_at_root.py"), "w") as fh:
+        fh.write("x = 1\n")
+    assert api.get_context(ix, tree)["total_files"] == first["total_files"] + 1
+    text = api.render_context(first)
+    assert text.startswith(f"Directory: {os.path.abspath(tree)}\nTotal files: ") and "\n## Languages (by file count)\n" in text and "\n## Directory Structure\n" in text
+    many = first | {"languages": [{"extension": f".e{i}", "files": 1, "lines": 2} for i in range(15)], "structure": [f"f{i}" for i in range(60)], "dependencies": [{"ecosystem": "go", "name": "m", "version": "unknown", "requires": [f"d{i}" for i in range(20)]}]}
+    text = api.render_context(many)
+    assert ".e9 " in text and ".e10" not in text and "    ... and 5 more" in text and "  ... (10 more entries)" in text
+
+
+def test_stream_of_files_keeps_the_index(spark, tree, tmp_path):
+    ix, cp = ingest.Index(spark, str(tmp_path / "ix")), str(tmp_path / "cp")
+    options = {"listings": str(tmp_path / "listings")}
+    incremental.index_files(ix, tree, cp, **options).awaitTermination()
+    assert ix.chunks.read().where("file_path = 'src/utils.py'").count() == 1
+    os.remove(os.path.join(tree, "src/utils.py"))
+    with open(os.path.join(tree, "main.py"), "w") as fh:
+        fh.write("def only():\n    return 1\n")
+    incremental.index_files(ix, tree, cp, **options).awaitTermination()
+    now = {r["file_path"]: r["text"] for r in ix.chunks.read().collect()}
+    assert "src/utils.py" not in now and "def only" in now["main.py"] and "README.md" in now
+
+
+def test_search_ranks_terms_within_the_directory(spark, tmp_path):
+    ix = ingest.Index(spark, str(tmp_path / "ix"))
+    for d, texts in (("one", ["alpha beta", "alpha gamma", "delta"]), ("two", ["alpha"] * 9)):
+        (tmp_path / d).mkdir()
+        for i, t in enumerate(texts):
+            (tmp_path / d / f"f{i}.md").write_text(t)
+        ix.ingest(str(tmp_path / d))
+    here = ix.chunks.read().where(F.col("directory") == str(tmp_path / "one"))
+    from tessera.operators import lexical
+
+    want = {r["id"] for r in lexical.topk(here.select("id", "tokens", "dl"), "beta alpha", 4).collect()}
+    got = {r["id"] for r in api.search(ix, str(tmp_path / "one"), "beta alpha", 2).collect()}
+    assert len(want) == 2 and got & want

@@ -61,3 +61,23 @@ def test_store(spark, tmp_path):
     (tmp_path / "t" / "current.json").write_text("{broken")
     (tmp_path / "t" / ".current.json.crc").unlink(missing_ok=True)
     assert st.state() is None
+
+
+def test_update_touches_only_the_buckets_of_changed_keys(spark, tmp_path):
+    st = S.Store(spark, str(tmp_path / "k"), ("k",), 16)
+    schema = "k string, v int"
+    st.write(spark.createDataFrame([(f"k{i}", i) for i in range(200)], schema))
+    before = st.state()["parts"]
+    gone = spark.createDataFrame([("k1", 0), ("k2", 0), ("new", 0)], schema)
+    new = spark.createDataFrame([("k1", -1), ("new", -2)], schema)
+    touched = st.update(gone, lambda old: S.delete(old, gone, ["k"]).unionByName(new), note="x")
+    after = st.state()["parts"]
+    assert {int(b) for b in after if after[b] != before.get(b)} == set(touched) and len(touched) <= 3 and st.state()["properties"]["note"] == "x"
+    rows = {r["k"]: r["v"] for r in st.read().collect()}
+    assert len(rows) == 200 and rows["k1"] == -1 and rows["new"] == -2 and "k2" not in rows
+    st.update(gone, lambda old: S.delete(old, gone, ["k"]).unionByName(new))
+    assert {r["k"]: r["v"] for r in st.read().collect()} == rows
+    st.clean()
+    assert st.read().count() == 200 and st.update(gone.where("false"), lambda old: old) == []
+    st.write(st.read().where("false"))
+    assert st.read().count() == 0 and st.read().columns == ["k", "v"]
