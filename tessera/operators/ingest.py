@@ -21,10 +21,11 @@ from tessera.sources import extract, filetree
 CHUNK = "id string, text string, file_path string, directory string, content_type string, chunk_index int, ingested_at string, meta map<string,string>, vector array<float>, tokens array<string>, dl int"
 
 
-def build_chunks(texts: DataFrame, directory: str, settings: Settings = Settings(), spec: embeddings.Spec = embeddings.Spec()) -> DataFrame:
-    """texts(rel_path, text, content_type, meta) -> rows of CHUNK. Texts that could not be read (NULL) give none."""
-    c = chunkers.chunk(texts.where(F.col("text").isNotNull()), ["rel_path"], settings.chunk_size, settings.chunk_overlap)
-    place = F.lit(directory)
+def build_chunks(texts: DataFrame, directory: str | None, settings: Settings = Settings(), spec: embeddings.Spec = embeddings.Spec()) -> DataFrame:
+    """texts(rel_path, text, content_type, meta) -> rows of CHUNK; without a directory, texts has a column of it. Texts that could not be read
+    (NULL) give none."""
+    c = chunkers.chunk(texts.where(F.col("text").isNotNull()), ["rel_path"] if directory is not None else ["directory", "rel_path"], settings.chunk_size, settings.chunk_overlap)
+    place = F.lit(directory) if directory is not None else F.col("directory")
     meta = extract.merged_meta(F.col("meta"), F.map_filter(F.create_map(F.lit("section_title"), "section_title", F.lit("chunk_index"), F.col("chunk_index").cast("string")), lambda k, v: v.isNotNull()))
     t = tokens(F.col("chunk"))
     return c.select(

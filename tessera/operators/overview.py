@@ -104,10 +104,12 @@ def tree(files: DataFrame, keys: list[str]) -> DataFrame:
     dir_rows = dirs.select(*keys, node(F.col("d"), F.concat(F.lit("0"), F.lower(name), F.lit("\0"), name)).alias("sort"), (F.size("d") - 1).alias("depth"), F.concat(name, F.lit("/")).alias("name"))
     f = base.where(depth <= 2).withColumn("dir", F.slice("p", F.lit(1), depth)).withColumn("n", F.element_at("p", -1))
     w = W.partitionBy(*keys, "dir").orderBy(F.lower("n"), "n")
-    f = f.withColumn("i", F.row_number().over(w)).withColumn("all", F.count(F.lit(1)).over(W.partitionBy(*keys, "dir")))
+    # counted by partial aggregation; of the names of a large directory only the first few are sorted in one task
+    many = f.groupBy(*keys, "dir").agg(F.count(F.lit(1)).alias("all"))
+    f = f.withColumn("i", F.row_number().over(w)).where(F.col("i") <= TREE_FILES + 1).join(many, [*keys, "dir"])
     own = F.when(F.col("i") <= TREE_FILES, F.concat(F.lit("1"), F.lower("n"), F.lit("\0"), F.col("n"))).otherwise(F.lit("2"))
     label = F.when(F.col("i") <= TREE_FILES, F.col("n")).otherwise(F.concat(F.lit("... ("), (F.col("all") - TREE_FILES).cast("string"), F.lit(" more files)")))
-    file_rows = f.where(F.col("i") <= TREE_FILES + 1).select(*keys, node(F.col("p"), own).alias("sort"), depth.alias("depth"), label.alias("name"))
+    file_rows = f.select(*keys, node(F.col("p"), own).alias("sort"), depth.alias("depth"), label.alias("name"))
     rows = dir_rows.unionByName(file_rows)
     order = W.partitionBy(*keys).orderBy("sort")
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("name"))

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -200,7 +199,3 @@ def graph(e: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """keys..., src, targets: adjacency lists in import order, repeats kept."""
     lists = e.groupBy(*keys, "src").agg(F.sort_array(F.collect_list(F.struct("position", "dst"))).alias("_t"))
     return lists.select(*keys, "src", F.col("_t.dst").alias("targets"))
-
-
-def first_per_group(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from tessera.config import Settings
 from tessera.functions import embeddings
 from tessera.functions import text as T
-from tessera.operators import chunkers, diff, fusion, lexical, overview, structure, vector
+from tessera.operators import chunkers, diff, fusion, ingest, lexical, overview, structure, vector
 from tessera.operators import store as S
-from tessera.plans import chunk_sql
+from tessera.plans import chunk_sql, planted
 from tessera.session import shared_dir, spread, table
 from tessera.sources import extract, filetree, gitignore, registry
 
@@ -215,22 +216,21 @@ _PRUNE_SQL = "NOT list_contains(list_transform(string_split(file_path, '/')[:-2]
 @query(f"SELECT DISTINCT directory, file_path FROM extractions WHERE lower({_SUFFIX}) IN ('.py', '.go', '.md') AND lower({_SUFFIX}) <> '.md' AND octet_length(encode(text)) <= 4000 AND {_PRUNE_SQL}")
 def extension_filter(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("file_path")
-    ok = filetree.included(p, ["py", ".GO", "md"], [".md"]) & (F.octet_length("text") <= 4000) & filetree.not_pruned(p)
+    ok = filetree.included(p, ["py", ".GO", "md"], [".md"]) & filetree.within_size(F.octet_length("text"), Settings(max_file_size_bytes=4000)) & filetree.not_pruned(p)
     return table(spark, d, "extractions").where(ok).select(*FILE).distinct()
 
 
-def _ignored_sql() -> str:
-    out = "false"
-    for pattern, negated in gitignore.compile_lines(RULES):
-        out = f"CASE WHEN regexp_matches(file_path, '{_q(pattern)}') THEN {str(not negated).lower()} ELSE {out} END"
-    return out
+# the rules by hand, the last one first, since the last match decides
+_IGNORED = r"""CASE WHEN regexp_matches(file_path, '(^|/)[^/]*\.[ch](/|$)') THEN true WHEN regexp_matches(file_path, '(^|/)fixtures/') THEN true
+WHEN regexp_matches(file_path, '^areas/[^/]+/tools/') THEN true WHEN regexp_matches(file_path, '^docs/index\.[^/]*(/|$)') THEN false
+WHEN regexp_matches(file_path, '(^|/)docs/') THEN true ELSE regexp_matches(file_path, '(^|/)[^/]*\.log(/|$)') END"""
 
 
-@query(f"SELECT directory, CAST(count(*) AS BIGINT) AS kept FROM (SELECT DISTINCT directory, file_path FROM extractions) WHERE NOT {_ignored_sql()} GROUP BY directory")
+@query(f"SELECT directory, CAST(count(*) AS BIGINT) AS kept, CAST(sum(length(file_path)) AS BIGINT) AS chars FROM (SELECT DISTINCT directory, file_path FROM extractions) WHERE NOT ({_IGNORED}) GROUP BY directory")
 def gitignore_filter(spark: SparkSession, d: str) -> DataFrame:
     rules = gitignore.compile_lines(RULES)
     paths = table(spark, d, "extractions").select(*FILE).distinct().where(~gitignore.ignored(F.col("file_path"), rules))
-    return paths.groupBy("directory").agg(F.count(F.lit(1)).alias("kept"))
+    return paths.groupBy("directory").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("file_path")).alias("chars"))
 
 
 @query("SELECT file_id, coalesce(meta['language'], 'unknown') AS language, file_path, CAST(coalesce(cardinality(meta), 0) + CASE WHEN meta['language'] IS NULL THEN 2 ELSE 1 END AS INT) AS keys FROM extractions")
@@ -338,7 +338,21 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return overview.fingerprint(files(spark, d).withColumn("size", F.octet_length("text").cast("bigint")), ["directory"])
 
 
-@query()
+_NODE = "lambda x: '0' || lower(x) || chr(0) || x"
+_TREE_SQL = f"""
+WITH b AS (SELECT DISTINCT directory, string_split(file_path, '/') AS p FROM extractions WHERE file_path IS NOT NULL),
+     d AS (SELECT DISTINCT directory, p[1:k] AS d FROM (SELECT directory, p, unnest(range(1, least(len(p) - 1, 4) + 1)) AS k FROM b)),
+     dr AS (SELECT directory, list_transform(d, {_NODE}) AS sort, len(d) - 1 AS depth, d[-1] || '/' AS name FROM d),
+     f AS (SELECT directory, p[1:len(p) - 1] AS dir, p[-1] AS n FROM b WHERE len(p) <= 3),
+     g AS (SELECT *, row_number() OVER (PARTITION BY directory, dir ORDER BY lower(n), n) AS i, count(*) OVER (PARTITION BY directory, dir) AS a FROM f),
+     fr AS (SELECT directory, list_append(list_transform(dir, {_NODE}), CASE WHEN i <= 20 THEN '1' || lower(n) || chr(0) || n ELSE '2' END) AS sort, len(dir) AS depth,
+                   CASE WHEN i <= 20 THEN n ELSE '... (' || (a - 20) || ' more files)' END AS name FROM g WHERE i <= 21),
+     r AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY sort) AS position FROM (SELECT * FROM dr UNION ALL SELECT * FROM fr))
+SELECT directory, CAST(position AS INT) AS position, repeat('  ', depth) || name AS line FROM r WHERE position <= 100
+"""
+
+
+@query(_TREE_SQL)
 def directory_tree(spark: SparkSession, d: str) -> DataFrame:
     return overview.tree(table(spark, d, "extractions").select(*FILE), ["directory"])
 
@@ -418,12 +432,15 @@ _DIFF_SQL = (
 )
 
 
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    order = [F.coalesce("mtime", F.lit(-1.0)), F.coalesce("size", F.lit(-1)), F.coalesce("md5", F.lit(""))]
+    return S.latest(table(spark, d, "manifest").where("rel_path IS NOT NULL"), ["directory", "rel_path"], order)
+
+
 @query(_DIFF_SQL)
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     now = files(spark, d).select("directory", F.col("file_path").alias("rel_path"), F.md5("text").alias("md5"))
-    order = [F.coalesce("mtime", F.lit(-1.0)), F.coalesce("size", F.lit(-1)), F.coalesce("md5", F.lit(""))]
-    old = S.latest(table(spark, d, "manifest").where("rel_path IS NOT NULL"), ["directory", "rel_path"], order)
-    return diff.changes(now, old, ["directory", "rel_path"])
+    return diff.changes(now, _manifest(spark, d), ["directory", "rel_path"])
 
 
 @query(f"SELECT directory, true AS has_changes, CAST(count(*) FILTER (WHERE change <> 'deleted') AS BIGINT) AS changed_files, CAST(count(*) FILTER (WHERE change = 'deleted') AS BIGINT) AS deleted_files FROM ({_DIFF_SQL}) GROUP BY directory")
@@ -441,12 +458,18 @@ def freshness_report(spark: SparkSession, d: str) -> DataFrame:
     return diff.freshness(table(spark, d, "chunks"), snapshot_diff(spark, d), ["directory"])
 
 
-@query("SELECT id, max(file_path) AS file_path, max(chunk_index) AS chunk_index, CAST(max(length(text)) AS INT) AS n_chars FROM chunks WHERE id IS NOT NULL GROUP BY id")
+@query(
+    "SELECT id, file_path, n_chars FROM (SELECT id, max(file_path) AS file_path, CAST(max(length(text)) AS INT) AS n_chars FROM chunks WHERE id IS NOT NULL GROUP BY id)"
+    " UNION ALL SELECT DISTINCT id, 'stored earlier', -1 FROM bm25_corpus WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM chunks WHERE id IS NOT NULL)"
+    " UNION ALL SELECT 'old-' || id, 'stored earlier', -1 FROM (SELECT DISTINCT id FROM points WHERE id IS NOT NULL)"
+)
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").where("id IS NOT NULL").select("id", "file_path", "chunk_index", F.length("text").alias("n_chars"))
-    old = S.latest(c.where("chunk_index = 0"), ["id"], [F.col("n_chars")])
-    new = S.latest(c, ["id"], [F.col("n_chars")])
-    return S.upsert(old, new, ["id"])
+    """Stored: stale rows for the ids of the corpus (replaced by the chunks') and for ids that no chunk has (kept)."""
+    c = table(spark, d, "chunks").where("id IS NOT NULL").select("id", "file_path", F.length("text").alias("n_chars"))
+    only = table(spark, d, "points").where("id IS NOT NULL").select(F.concat(F.lit("old-"), "id").alias("id")).distinct()
+    stale = table(spark, d, "bm25_corpus").where("id IS NOT NULL").select("id").distinct().unionByName(only)
+    old = stale.select("id", F.lit("stored earlier").alias("file_path"), F.lit(-1).alias("n_chars"))
+    return S.upsert(old, S.latest(c, ["id"], [F.col("n_chars")]), ["id"])
 
 
 @query("SELECT directory, CAST(count(*) AS BIGINT) AS chunks FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM semantic_hits h WHERE h.directory = c.directory AND h.file_path = c.file_path) GROUP BY directory")
@@ -475,8 +498,6 @@ def indexed_directories(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def stream_incremental_upsert(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
     from tessera.streaming import incremental
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -501,10 +522,9 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", F.size("v").alias("dim"), F.round(vector.norm(F.col("v")), 5).alias("length"), F.round(F.col("v")[0].cast("double"), 6).alias("first"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(round(avg(length(replace(score_text, '.', ''))), 3) AS DOUBLE) AS width FROM (SELECT format('{:.3f}', score) AS score_text FROM semantic_hits WHERE score IS NOT NULL)")
+@query("SELECT DISTINCT query_id, id, format('{:.3f}', score) AS shown FROM semantic_hits WHERE score IS NOT NULL")
 def score_format(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "semantic_hits").where("score IS NOT NULL").select(F.format_string("%.3f", "score").alias("t"))
-    return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length(F.replace("t", F.lit("."), F.lit("")))), 3).alias("width"))
+    return table(spark, d, "semantic_hits").where("score IS NOT NULL").select("query_id", "id", F.format_string("%.3f", "score").alias("shown")).distinct()
 
 
 @query(f"WITH q AS (SELECT query_id, unnest({_DOC_TOKENS.replace('text', 'question')}) AS term FROM (SELECT DISTINCT query_id, question FROM semantic_hits WHERE question IS NOT NULL)) SELECT query_id, term, CAST(count(*) AS BIGINT) AS qtf FROM q GROUP BY query_id, term")
@@ -519,3 +539,27 @@ def hits_by_directory(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("directory").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("most"))
 
 
+@query(
+    f"WITH x AS ({_DIFF_SQL}), o AS {_MANIFEST_SQL} SELECT o.directory, rel_path AS file_path, md5('was ' || md5) AS source FROM o ANTI JOIN x USING (directory, rel_path) WHERE md5 IS NOT NULL"
+    f" UNION ALL SELECT f.directory, file_path, md5(text) FROM {_FILES_SQL} f JOIN x ON f.directory = x.directory AND f.file_path = x.rel_path WHERE change <> 'deleted' AND trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''"
+)
+def ingest_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The index at the checkpoint, brought to the present by the changes since then (applied twice, as after a failure): each file's chunks come from
+    the text that its meta names."""
+    base = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    store = S.Store(spark, f"{base}/chunks", ("directory", "file_path"))
+    source = lambda t: F.create_map(F.lit("source"), F.md5(t))
+    was = F.concat(F.lit("was "), "md5")
+    old = _manifest(spark, d).where("md5 IS NOT NULL").select("directory", "rel_path", was.alias("text"), F.lit(None).cast("string").alias("content_type"), source(was).alias("meta"))
+    store.write(ingest.build_chunks(old, None))
+    delta = snapshot_diff(spark, d)
+    now = files(spark, d).select("directory", F.col("file_path").alias("rel_path"), "text", F.lit(None).cast("string").alias("content_type"), source(F.col("text")).alias("meta"))
+    new = ingest.build_chunks(now.join(delta.where("change <> 'deleted'").select("directory", "rel_path"), ["directory", "rel_path"], "left_semi"), None)
+    for _ in range(2):
+        ingest.apply_changes(store, delta.select("directory", F.col("rel_path").alias("file_path")), new)
+        store.clean()
+    return store.read().select(*FILE, F.col("meta")["source"].alias("source")).distinct()
+
+
+QUERIES.update(planted.QUERIES)
+ORACLES.update(planted.ORACLES)

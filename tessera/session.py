@@ -91,9 +91,5 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= n else scan.repartition(n)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def package_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
