@@ -106,3 +106,39 @@ def test_garbled_beyond_repair(text):
 @pytest.mark.parametrize("text", ["Python版の索引", "a&lt;&gt;b &amp;&amp; c", "Ærø, Þór, Ångström", "a │ b ├ c", "SÃO ÀS MAÇÃS", "№ 5 · §3 † ‡"])
 def test_odd_but_clean(text):
     assert encoding.repair(text)[0] is False
+
+
+def _read(text, written, read):
+    to = {b: c for c, b in encoding.tables(read)[0].items()}
+    return "".join(chr(b) if b < 128 else chr(to[b]) for b in text.encode(written))
+
+
+@pytest.fixture(scope="module")
+def model(spark, data):
+    return encoding.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+@pytest.mark.parametrize("written,read,text", [
+    ("cp1251", "koi8_r", "Привет мир, каталог уже открыт"), ("koi8_r", "cp1251", "## Когда сборщик больше 32 строк, индекс закрыт"), ("cp866", "cp1251", "Если индекс пуст, каталог выбирает записи"),
+    ("cp850", "cp1252", "Där steht der Schlüssel später für die Größe über alles"), ("utf-8", "cp1250", "Où trouver la clé planifiée ? Voilà l'élément à côté"), ("shift_jis", "cp1252", "昨日から索引が削除されず、検索結果だけが残っています。"),
+])
+def test_the_likeliest_repair_is_taken(model, written, read, text):
+    assert encoding.repair(_read(text, written, read), model)[:2] == (True, text)
+
+
+def test_long_lines_are_treated_like_short_ones(model):
+    unit = "昨日から索引が削除されず、検索結果だけが残っています。"
+    for n in (7_900, 8_100, 200_000):
+        text = (unit * (n // len(unit) + 1))[: n // 3]
+        assert encoding.repair(_read(text, "utf-8", "latin-1"), model) == (True, text, 1, True)
+
+
+@pytest.mark.parametrize("text", ["See `cafÃ© crÃ¨me brÃ»lÃ©e` for the name.", "See “la crÃ¨me brÃ»lÃ©e du cafÃ©, comme toujours, avec du sucre” here."])
+def test_garbled_words_in_quotes_are_garbled(text):
+    found, restored, _, complete = encoding.repair(text)
+    assert found and complete and "crème brûlée" in restored
+
+
+@pytest.mark.parametrize("text", CLEAN + ["resolve({ index: 248, ranking: ’attach stale cache’ });", "`Ã© Ã¼ â€™ Ã±` are the usual signs, `Â ` too"])
+def test_clean_with_a_model(model, text):
+    assert encoding.repair(text, model)[0] is False
