@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,9 @@ from tessera.session import spread
 WINDOW = 12  # words: the shortest passage that counts
 STEPS = 2 * WINDOW  # length of a random walk; most end their window later, so that few samples fall behind the end
 SAMPLED = 5  # positions of its walk a hash samples
-WALKS = 16  # independent walks with a hash each; recall at one and two edits is in the README, an exact window is always met
+RECALL = 0.95  # of single windows with two edits; longer passages hold several windows and are met more often, equal windows always
+MOST_WALKS = 64
+TRIALS = 2000  # edited windows of the items on which the number of walks is settled
 MAX_EDITS = 2
 BLOCK_WORDS = 1_000_000  # words of evaluation text indexed at once (about 0.3 GB); more are treated in several passes
 SEED = 20
@@ -60,10 +63,39 @@ def keys(embedded: np.ndarray, sample: np.ndarray) -> np.ndarray:
     return h
 
 
+def random_walk(j: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of the j-th walk (by step and symbol) and the positions that its hash samples."""
+    rng = np.random.default_rng((SEED, j))
+    return rng.integers(0, 2, (STEPS, vocabulary + 1), np.int8), np.sort(rng.choice(STEPS, SAMPLED, replace=False))
+
+
+def needed_walks(symbols: np.ndarray, starts: np.ndarray, vocabulary: int, recall: float) -> int:
+    """How many independent walks meet windows with two edits (two words changed; one deleted and one inserted) with the wanted recall: measured
+    on TRIALS windows of the items themselves, since it depends on how their words repeat."""
+    rng = np.random.default_rng(SEED)
+    at = starts[rng.integers(len(starts), size=TRIALS)]
+    plain = symbols[at[:, None] + np.arange(WINDOW)]
+    changed, shifted = plain.copy(), plain.copy()
+    strange = vocabulary  # a word that no item holds
+    for i in range(TRIALS):
+        changed[i, rng.choice(WINDOW, 2, replace=False)] = strange
+        gone, new = rng.integers(WINDOW), rng.integers(WINDOW)
+        shifted[i] = np.insert(np.delete(plain[i], gone), new, strange)
+    first = np.arange(TRIALS) * WINDOW
+    met = np.zeros((2, TRIALS), bool)
+    for j in range(MOST_WALKS):
+        bits, sample = random_walk(j, vocabulary)
+        own, *edited = (keys(walk(x.ravel(), first, bits), sample) for x in (plain, changed, shifted))
+        met |= np.stack([own == e for e in edited])
+        if met.mean(1).min() >= recall:
+            return j + 1
+    return MOST_WALKS
+
+
 class Index:
     """Hashes of all item windows. Every window of every item is indexed; memory is bounded by BLOCK_WORDS. One walk meets equal windows."""
 
-    def __init__(self, items: list[tuple[int, str]], walks: int = WALKS):
+    def __init__(self, items: list[tuple[int, str]], walks: int | None = None, recall: float = RECALL):
         self.vocab: dict[str, int] = {}
         self.ids, lists = [], []
         for item_id, text in items:
@@ -73,10 +105,14 @@ class Index:
                 lists.append([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w])
         self.bounds = np.cumsum([0] + [len(x) for x in lists])
         self.symbols = np.array([s for x in lists for s in x], np.int32)
-        rng = np.random.default_rng(SEED)
-        self.bits = [rng.integers(0, 2, (STEPS, len(self.vocab) + 1), np.int8) for _ in range(walks)]
-        self.samples = [np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(walks)]
         starts = np.concatenate([np.arange(a, b - WINDOW + 1) for a, b in zip(self.bounds, self.bounds[1:])]) if lists else np.zeros(0, np.int64)
+        known = len(self.vocab) + 1  # and one for the strange word of the trials
+        self.walks = (walks or needed_walks(self.symbols, starts, known, recall)) if len(starts) else 0
+        self.bits, self.samples = [], []
+        for j in range(self.walks):
+            bits, sample = random_walk(j, known)
+            self.bits.append(bits)
+            self.samples.append(sample)
         self.tables, self.filters = [], []
         for bits, sample in zip(self.bits, self.samples) if len(starts) else []:
             k = keys(walk(self.symbols, starts, bits), sample)
@@ -172,23 +208,29 @@ def scan(index: Index, batch: pd.DataFrame, windows_at_once: int = 100_000) -> I
 SCHEMA = "doc_id bigint, item_id bigint, run_words int, edits int"
 
 
-def leaks(documents: DataFrame, items: DataFrame, walks: int = WALKS) -> DataFrame:
+@lru_cache(maxsize=1)
+def _indexed(items: tuple[tuple[int, str], ...], walks: int | None, recall: float) -> Index:
+    return Index(list(items), walks, recall)
+
+
+def leaks(documents: DataFrame, items: DataFrame, walks: int | None = None, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, run_words, edits: every document with a window of 12 words within two edits of an item's window.
 
-    edits 0 means an exact run of at least 12 words; run_words is the longest exact run on an alignment that was met. Windows that are equal always share all hashes, so exact runs are never missed; edited
-    ones are found with the recall that WALKS and SAMPLED give (README). Items are indexed in blocks of BLOCK_WORDS words, each block broadcast and held
-    against all documents: no shuffle, and memory does not grow with either table. NULL ids and texts, and texts shorter than 12 words,
-    match nothing; whole texts are searched.
+    edits 0 means an exact run of at least 12 words; run_words is the longest exact run on an alignment that was met. Windows that are equal
+    always share all hashes, so exact runs are never missed; a single window with two edits is met with at least `recall`, for which the
+    number of walks is measured (`needed_walks`) unless it is given. Items go in blocks of BLOCK_WORDS words; a block's texts are broadcast,
+    every worker indexes them once, and all documents are held against it: no shuffle, and no memory grows with either table. NULL ids and
+    texts, and texts shorter than 12 words, match nothing; whole texts are searched.
     """
     spark = documents.sparkSession
     docs = spread(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 2 * WINDOW - 2)))
     out, block, n = [], [], 0
 
     def against(block: list[tuple[int, str]]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(Index(block, walks))
+        shipped = spark.sparkContext.broadcast(tuple(block))
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = shipped.value
+            index = _indexed(shipped.value, walks, recall)
             for b in batches:
                 if index.tables:
                     yield pd.DataFrame(scan(index, b), columns=["doc_id", "item_id", "run_words", "edits"])
@@ -203,10 +245,7 @@ def leaks(documents: DataFrame, items: DataFrame, walks: int = WALKS) -> DataFra
             out.append(against(block))
             block, n = [], 0
     out.append(against(block))
-    res = out[0]
-    for x in out[1:]:
-        res = res.unionByName(x)
-    return res
+    return reduce(DataFrame.unionByName, out)
 
 
 def exact_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
