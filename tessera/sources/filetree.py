@@ -17,6 +17,7 @@ from tessera.sources import gitignore, registry
 
 SCHEMA = "root string, rel_path string, name string, suffix string, size bigint, mtime double, content binary"
 FILES_PER_PARTITION = 256
+BYTES_PER_PARTITION = 64 << 20
 
 
 def normalise_extensions(values) -> set[str] | None:
@@ -89,15 +90,30 @@ def read_files(root: str, paths: list[str]) -> Iterator[tuple]:
         yield root, rel, name, py_suffix(name), stat.st_size, stat.st_mtime, data
 
 
+def packed(root: str, paths: list[str]) -> list[list[str]]:
+    """Paths in runs of at most FILES_PER_PARTITION files and about BYTES_PER_PARTITION bytes; a larger file has a run of its own."""
+    out: list[list[str]] = []
+    room = 0
+    for rel in paths:
+        try:
+            size = os.path.getsize(os.path.join(root, rel))
+        except OSError:
+            size = 0
+        if not out or len(out[-1]) == FILES_PER_PARTITION or size > room:
+            out.append([])
+            room = BYTES_PER_PARTITION
+        out[-1].append(rel)
+        room -= size
+    return out
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = os.path.abspath(options.get("path", "."))
         self.options = options
 
     def partitions(self) -> list[Part]:
-        paths = walk(self.root, self.options)
-        n = FILES_PER_PARTITION
-        return [Part(paths[i : i + n]) for i in range(0, len(paths), n)] or [Part([])]
+        return [Part(run) for run in packed(self.root, walk(self.root, self.options))] or [Part([])]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         return read_files(self.root, partition.paths)
@@ -155,7 +171,7 @@ class StreamReader(DataSourceStreamReader):
         changed = [p for p, v in now.items() if was.get(p) != v]
         gone = [p for p in was if p not in now] if self.deletions else []
         n = FILES_PER_PARTITION
-        return [Part(changed[i : i + n]) for i in range(0, len(changed), n)] + [Part(gone[i : i + n], True) for i in range(0, len(gone), n)]
+        return [Part(run) for run in packed(self.root, changed)] + [Part(gone[i : i + n], True) for i in range(0, len(gone), n)]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         extra = (partition.gone,) if self.deletions else ()

@@ -313,3 +313,38 @@ def test_search_ranks_terms_within_the_directory(spark, tmp_path):
     want = {r["id"] for r in lexical.topk(here.select("id", "tokens", "dl"), "beta alpha", 4).collect()}
     got = {r["id"] for r in api.search(ix, str(tmp_path / "one"), "beta alpha", 2).collect()}
     assert len(want) == 2 and got & want
+
+
+def test_partitions_are_bounded_by_bytes(tmp_path, monkeypatch):
+    for i, n in enumerate([40, 40, 40, 500, 10]):
+        (tmp_path / f"f{i}.py").write_text("x" * n)
+    monkeypatch.setattr(filetree, "BYTES_PER_PARTITION", 100)
+    assert filetree.packed(str(tmp_path), [f"f{i}.py" for i in range(5)]) == [["f0.py", "f1.py"], ["f2.py"], ["f3.py"], ["f4.py"]]
+    monkeypatch.setattr(filetree, "FILES_PER_PARTITION", 1)
+    assert len(filetree.packed(str(tmp_path), ["f0.py", "f4.py", "gone.py"])) == 3
+
+
+def test_extractor_plug_in_and_registry(spark):
+    files = spark.createDataFrame([("a.toy", bytearray(b"x")), ("b.py", bytearray(b"y\r\nz")), ("c.pdf", bytearray(b"no"))], "rel_path string, content binary")
+    assert [r["k"] for r in files.select(registry.can_extract(F.col("rel_path")).alias("k")).collect()] == [False, True, True]
+    extract.register_reader("toy", lambda data: (data.decode().upper(), {"made": "by toy"}))
+    try:
+        got = {r["rel_path"]: r for r in extract.extract(files, [registry.Entry(".toy", "toy", "plain_text", 9)]).collect()}
+    finally:
+        extract.READERS.pop("toy")
+    assert got["a.toy"]["text"] == "X" and got["a.toy"]["meta"]["made"] == "by toy" and got["b.py"]["text"] == "y\nz"
+    assert got["c.pdf"]["text"] is None and got["c.pdf"]["error"]
+
+
+def test_saved_corpus_gives_the_same_ranking(spark, tmp_path):
+    from tessera.operators import lexical
+
+    docs = spark.createDataFrame([("a", "rust memory rust"), ("b", "python"), ("c", None)], "id string, text string")
+    corpus = lexical.corpus(docs, "id", "text")
+    st = S.Store(spark, str(tmp_path / "bm25"), ("id",))
+    assert st.load() is None
+    st.write(corpus)
+    assert lexical.topk(st.read(), "rust memory").collect() == lexical.topk(corpus, "rust memory").collect()
+    with open(os.path.join(st.path, "current.json"), "w") as fh:
+        fh.write("{broken")
+    assert not st.exists() and st.load() is None
