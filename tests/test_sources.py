@@ -345,6 +345,5 @@ def test_saved_corpus_gives_the_same_ranking(spark, tmp_path):
     assert st.load() is None
     st.write(corpus)
     assert lexical.topk(st.read(), "rust memory").collect() == lexical.topk(corpus, "rust memory").collect()
-    with open(os.path.join(st.path, "current.json"), "w") as fh:
-        fh.write("{broken")
+    st._write_text(f"{st.path}/current.json", "{broken")
     assert not st.exists() and st.load() is None
