@@ -83,7 +83,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+def p7_proof(spark: SparkSession, d: str) -> DataFrame:
     return mixing.checked(p7_mix(spark, d), table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
@@ -97,7 +97,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_scored, p2_found, p2_rebuilt, p2_split, p3_found, p3_knn, p4_found, p4_terms, p5_found, p5_judged, p5_rates, p6_found, p6_leaks, p6_report, p7_checked, p7_mix, p7_shares, p8_found, p8_repaired)
+    for f in (p1_found, p1_scored, p2_found, p2_rebuilt, p2_split, p3_found, p3_knn, p4_found, p4_terms, p5_found, p5_judged, p5_rates, p6_found, p6_leaks, p6_report, p7_mix, p7_proof, p7_shares, p8_found, p8_repaired)
 }
 
 _TERMS = """
@@ -140,7 +140,7 @@ WITH norm AS (SELECT 'd' AS kind, doc_id AS k, text FROM documents UNION ALL SEL
      g AS (SELECT DISTINCT kind, k, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT kind, k, w, unnest(range(1, len(w) - 10)) AS i FROM w WHERE len(w) >= 12))
 SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM g d JOIN g i ON d.g = i.g WHERE d.kind = 'd' AND i.kind = 'i'
 """,
-    "p7_checked": r"""
+    "p7_proof": r"""
 WITH k AS (SELECT regexp_replace(lower(trim(source)), '[_\s]+', '-', 'g') AS source FROM mix_targets WHERE source IS NOT NULL AND weight > 0),
      t AS (SELECT regexp_replace(lower(trim(source)), '[_\s]+', '-', 'g') AS source, count(DISTINCT text) AS texts FROM documents WHERE length(text) > 0 AND doc_id IS NOT NULL GROUP BY 1)
 SELECT k.source, CAST(coalesce(max(texts), 0) AS BIGINT) AS texts, true AS once, true AS capped, true AS met FROM k LEFT JOIN t ON k.source = t.source GROUP BY k.source
