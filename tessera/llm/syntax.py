@@ -393,7 +393,7 @@ def judged(extractions: DataFrame, pieces_parsed: Accumulator | None = None) ->
             s = [json.dumps(summary(g, p, k == 0)) for g, k, p in zip(b["language"], b["no"], b["piece"])]
             yield pd.DataFrame({"_key": b["_key"], "no": b["no"], "summary": s})
 
-    @F.udf("struct<whole:string,entries:array<struct<no:int,entry:string>>>")
+    @F.udf("struct<whole:string,entries:array<struct<no:int,entry:string>>>", useArrow=True)
     def entered(parts: list) -> tuple:
         """The reduced summary, and the state and open brackets in which each piece begins."""
         whole, out = None, []
@@ -449,7 +449,7 @@ def judged(extractions: DataFrame, pieces_parsed: Accumulator | None = None) ->
     entries = reduced_.select("_key", F.inline("entries"))
     done = cuts.join(entries, ["_key", "no"]).mapInPandas(parsed, "_key bigint, no int, fine boolean, cut boolean, head string, tail string")
     ends = done.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("no", "fine", "cut", "head", "tail"))).alias("parts"))
-    doubt = F.udf(doubtful, "boolean")
+    doubt = F.udf(doubtful, "boolean", useArrow=True)
     judged_ = big.join(reduced_.select("_key", "whole"), "_key").join(ends, "_key").select("file_id", "directory", "language", "text", "whole", doubt("language", "whole", "parts").alias("doubt"))
     return small.unionByName(judged_.mapInPandas(long, schema))
 
