@@ -43,8 +43,7 @@ def search(index: Index, directory: str, query: str, n_results: int | None = Non
     if not index.settings.hybrid_search_enabled:
         top = sem.orderBy(F.desc("score"), "id").limit(n)
     else:
-        here = chunks.where(F.col("directory") == directory)
-        lex = lexical.topk(here.select("id", "tokens", "dl"), query, 2 * n, index.settings)
+        lex = lexical.topk(index.corpus(directory), query, 2 * n, index.settings)
         fused = fusion.fuse(fusion.ranked(sem, "score", "sem_rank"), fusion.ranked(lex, "bm25_score", "bm_rank"), index.settings)
         top = fusion.best(fused, n).withColumnRenamed("fused_score", "score")
     # payload columns are fetched for the winners only

@@ -92,8 +92,11 @@ class Hosted(Provider):
         self.dim = DIMENSIONS[kind][model]
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        got = self.send(self.url, {"model": self.model, "input": texts}, TIMEOUTS[self.kind], self.key)
-        return [d["embedding"] for d in got["data"]]
+        out = []
+        for i in range(0, len(texts), REQUEST):
+            got = self.send(self.url, {"model": self.model, "input": texts[i : i + REQUEST]}, TIMEOUTS[self.kind], self.key)
+            out += [d["embedding"] for d in got["data"]]
+        return out
 
 
 class Ollama(Provider):
@@ -102,25 +105,28 @@ class Ollama(Provider):
     def __init__(self, url: str, model: str, send: Callable = post):
         self.url, self.model, self.send, self.old = url.rstrip("/"), model, send, None
 
-    def one(self, text: str) -> list[float]:
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for i in range(0, len(texts), REQUEST):
+            out += self.some(texts[i : i + REQUEST])
+        return out
+
+    def some(self, texts: list[str]) -> list[list[float]]:
         if self.old is not True:
             try:
-                v = self.send(f"{self.url}/api/embed", {"model": self.model, "input": text}, TIMEOUTS["ollama"])["embeddings"][0]
+                got = self.send(f"{self.url}/api/embed", {"model": self.model, "input": texts}, TIMEOUTS["ollama"])["embeddings"]
                 self.old = False
-                return v
+                return got
             except (urllib.error.HTTPError, KeyError):
                 if self.old is False:
                     raise
-        v = self.send(f"{self.url}/api/embeddings", {"model": self.model, "prompt": text}, TIMEOUTS["ollama"])["embedding"]
+        got = [self.send(f"{self.url}/api/embeddings", {"model": self.model, "prompt": t}, TIMEOUTS["ollama"])["embedding"] for t in texts]
         self.old = True
-        return v
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        return [self.one(t) for t in texts]
+        return got
 
     @property
     def dim(self) -> int:
-        return len(self.one("dimension"))
+        return len(self.embed(["dimension"])[0])
 
 
 @dataclass(frozen=True)
@@ -146,17 +152,27 @@ def open_provider(spec: Spec) -> Provider:
     raise ValueError(f"unknown embedding provider {spec.kind!r}")
 
 
+REQUEST = 128  # texts of one request to a server
 _open: dict[Spec, Provider] = {}
+_failed: dict[Spec, Exception] = {}
 
 
 def provider(spec: Spec) -> Provider:
+    """The provider of this process. One that could not be opened (a model that does not load) is not tried again until `reset`."""
+    if spec in _failed:
+        raise _failed[spec]
     if spec not in _open:
-        _open[spec] = open_provider(spec)
+        try:
+            _open[spec] = open_provider(spec)
+        except Exception as e:
+            _failed[spec] = e
+            raise
     return _open[spec]
 
 
 def reset() -> None:
     _open.clear()
+    _failed.clear()
 
 
 def embed(text: Column, spec: Spec = Spec()) -> Column:

@@ -60,6 +60,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), spec: embeddings.Spec = embeddings.Spec()):
         self.spark, self.settings, self.spec = spark, settings, spec
+        self._corpora: dict[str, tuple[str | None, DataFrame]] = {}
         self.chunks = S.Store(spark, f"{path}/chunks", ("directory", "file_path"))
         self.manifest = S.Store(spark, f"{path}/manifest", ("directory", "rel_path"))
         self.heads = S.Store(spark, f"{path}/heads", ("directory",), 1)
@@ -76,6 +77,17 @@ class Index:
         df = self.chunks.load()
         return df is not None and S.is_indexed(df, os.path.abspath(directory))
 
+    def corpus(self, directory: str) -> DataFrame:
+        """id, tokens, dl of one directory, kept in memory while the table stays the same."""
+        directory, version = os.path.abspath(directory), (self.chunks.state() or {}).get("version")
+        held = self._corpora.get(directory)
+        if held is None or held[0] != version:
+            if held is not None:
+                held[1].unpersist()
+            here = self.chunks.read().where(F.col("directory") == directory).select("id", "tokens", "dl")
+            held = self._corpora[directory] = (version, here.persist())
+        return held[1]
+
     def _old_manifest(self, directory: str) -> DataFrame:
         df = self.manifest.load()
         if df is None:

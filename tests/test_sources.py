@@ -160,6 +160,27 @@ def test_providers():
     assert o.embed(["x", "y"]) == [[1.0, 2.0]] * 2 and len(calls) == 3 and o.dim == 2
 
 
+def test_requests_and_failures_of_providers(monkeypatch):
+    sizes = []
+    hosted = embeddings.Hosted("voyage", "u", "voyage-3-lite", "k", lambda u, b, t, k: sizes.append(len(b["input"])) or {"data": [{"embedding": [1.0]} for _ in b["input"]]})
+    assert len(hosted.embed(["x"] * 300)) == 300 and sizes == [128, 128, 44]
+    sent = []
+    o = embeddings.Ollama("http://h", "m", lambda url, body, timeout: sent.append(url) or {"embeddings": [[2.0]] * len(body["input"])})
+    assert o.embed(["x"] * 130) == [[2.0]] * 130 and len(sent) == 2
+    tries = []
+    monkeypatch.setattr(embeddings, "open_provider", lambda spec: tries.append(spec) or (_ for _ in ()).throw(OSError("no model")))
+    spec = embeddings.Spec("onnx", model="/nowhere")
+    for _ in range(3):
+        with pytest.raises(OSError):
+            embeddings.provider(spec)
+    assert len(tries) == 1
+    embeddings.reset()
+    with pytest.raises(OSError):
+        embeddings.provider(spec)
+    assert len(tries) == 2
+    embeddings.reset()
+
+
 def test_pooling():
     import numpy as np
 
@@ -313,6 +334,11 @@ def test_search_ranks_terms_within_the_directory(spark, tmp_path):
     want = {r["id"] for r in lexical.topk(here.select("id", "tokens", "dl"), "beta alpha", 4).collect()}
     got = {r["id"] for r in api.search(ix, str(tmp_path / "one"), "beta alpha", 2).collect()}
     assert len(want) == 2 and got & want
+    held = ix.corpus(str(tmp_path / "one"))
+    assert ix.corpus(str(tmp_path / "one")) is held and held.count() == 3
+    (tmp_path / "one" / "more.md").write_text("epsilon")
+    ix.ingest(str(tmp_path / "one"))
+    assert ix.corpus(str(tmp_path / "one")) is not held and ix.corpus(str(tmp_path / "one")).count() == 4
 
 
 def test_partitions_are_bounded_by_bytes(tmp_path, monkeypatch):
