@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut, spread
 
 SLOTS = 8
+SALTS = 8
 SAMPLE_PER_CLASS = 20_000  # files the forests are fitted on, at most, per class
 TREES, DEPTH = 20, 9  # of each forest
 LEAVES = 1000  # a leaf of the first step holds at least this part of the sample
@@ -126,10 +127,12 @@ def file_features(chunks: DataFrame) -> DataFrame:
     )
     files = cut(per_file)
     bands = [F.xxhash64(*_SLOT_COLS[: SLOTS // 2]), F.xxhash64(*_SLOT_COLS[SLOTS // 2 :])]
-    slots = files.where(F.col("body") >= 3).select("directory", "file_path", "project", "body", F.posexplode(F.array(*_SLOT_COLS, *bands)).alias("slot", "h"))
+    salt = F.pmod(F.xxhash64("directory", "file_path"), F.lit(SALTS))  # a min-hash that a third of all files share is met in SALTS tasks
+    slots = files.where(F.col("body") >= 3).select("directory", "file_path", "project", "body", salt.alias("salt"), F.posexplode(F.array(*_SLOT_COLS, *bands)).alias("slot", "h"))
     spread = slots.groupBy("slot", "h", "directory").agg(F.max("project").alias("p")).groupBy("slot", "h").agg(F.count(F.lit(1)).alias("dirs"), F.max("p").alias("noticed")).where("dirs > 1")
+    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     kin = F.max(F.when((F.col("slot") >= SLOTS) & (F.col("body") >= 4), F.col("noticed")).otherwise(0.0))
-    shared = slots.join(spread, ["slot", "h"]).groupBy("directory", "file_path").agg(
+    shared = slots.join(spread, ["slot", "h", "salt"]).groupBy("directory", "file_path").agg(
         F.count_if(F.col("slot") < SLOTS).alias("shared_slots"), F.count_if(F.col("slot") >= SLOTS).alias("shared_bands"), F.percentile_approx("dirs", F.lit(0.5)).alias("places"), kin.alias("kin")
     )
     n = F.greatest(F.col("chars"), F.lit(1.0))
