@@ -39,7 +39,7 @@ def search(index: Index, directory: str, query: str, n_results: int | None = Non
     chunks = index.chunks.read()
     scope = chunks if everywhere else chunks.where(F.col("directory") == directory)
     slim = scope.select("id", "vector")
-    sem = vector.topk(slim, _query_vector(index, query), 2 * n)
+    sem = vector.topk(slim, _query_vector(index, query), 2 * n, scaled=True)
     if not index.settings.hybrid_search_enabled:
         top = sem.orderBy(F.desc("score"), "id").limit(n)
     else:
@@ -54,7 +54,7 @@ def search_by_file(index: Index, directory: str, query: str, file_pattern: str,
     """Vector search among the files whose path contains the pattern; no fusion."""
     directory = _ready(index, directory)
     n = index.settings.clamp(n_results)
-    return vector.topk(index.chunks.read().drop("tokens"), _query_vector(index, query), n, where=vector.matches(directory, file_pattern)).select(*HIT)
+    return vector.topk(index.chunks.read().drop("tokens"), _query_vector(index, query), n, where=vector.matches(directory, file_pattern), scaled=True).select(*HIT)
 
 
 def stats(index: Index) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.config import Settings
 from tessera.functions import embeddings
 from tessera.functions.text import tokens
-from tessera.operators import chunkers, diff
+from tessera.operators import chunkers, diff, vector
 from tessera.operators import store as S
 from tessera.sources import extract, filetree
 
@@ -28,6 +28,7 @@ def build_chunks(texts: DataFrame, directory: str | None, settings: Settings = S
     place = F.lit(directory) if directory is not None else F.col("directory")
     meta = extract.merged_meta(F.col("meta"), F.map_filter(F.create_map(F.lit("section_title"), "section_title", F.lit("chunk_index"), F.col("chunk_index").cast("string")), lambda k, v: v.isNotNull()))
     t = tokens(F.col("chunk"))
+    c = c.withColumn("_e", embeddings.embed(F.col("chunk"), spec)).withColumn("_v", vector.unit(F.col("_e")))  # searches need not know lengths
     return c.select(
         chunkers.chunk_id(place, F.col("rel_path"), F.col("chunk_index")).alias("id"),
         F.col("chunk").alias("text"),
@@ -37,7 +38,7 @@ def build_chunks(texts: DataFrame, directory: str | None, settings: Settings = S
         "chunk_index",
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxxx").alias("ingested_at"),
         meta.alias("meta"),
-        embeddings.embed(F.col("chunk"), spec).alias("vector"),
+        F.col("_v").alias("vector"),
         t.alias("tokens"),
         F.size(t).alias("dl"),
     )

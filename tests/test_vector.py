@@ -81,3 +81,11 @@ def test_update_touches_only_the_buckets_of_changed_keys(spark, tmp_path):
     assert st.read().count() == 200 and st.update(gone.where("false"), lambda old: old) == []
     st.write(st.read().where("false"))
     assert st.read().count() == 0 and st.read().columns == ["k", "v"]
+
+
+def test_stored_at_length_one(spark):
+    df = spark.createDataFrame([("a", [3.0, 4.0]), ("z", [0.0, 0.0]), ("n", None)], "id string, vector array<float>")
+    got = {r["id"]: r["u"] for r in df.select("id", vector.unit(F.col("vector")).alias("u")).collect()}
+    assert got["n"] is None and got["z"] == [0.0, 0.0] and abs(got["a"][0] - 0.6) < 1e-6
+    u = df.select("id", vector.unit(F.col("vector")).alias("vector")).where("id = 'a'")
+    assert vector.topk(u, [1.0, 0.0], 3, scaled=True).first()["score"] == vector.topk(df.where("id = 'a'"), [1.0, 0.0], 3).first()["score"] == 0.6
