@@ -188,10 +188,11 @@ def edges(imported: DataFrame, files: DataFrame, keys: list[str] = []) -> DataFr
 
     imported: keys..., file_path, position, module; files: keys..., file_path, one row each. The candidates join the files by path; the
     winner per import is a minimum over its at most six candidates (aggregated, not sorted), so a popular target is no hot spot.
+    Neither side is broadcast: what is known of their sizes is an estimate that counts a file once, however many imports and candidates it gives.
     """
     cand = imported.select(*keys, F.col("file_path").alias("src"), "position", F.posexplode(candidates(F.col("module"), suffix(F.col("file_path")))).alias("_n", "dst"))
     there = files.select(*keys, F.col("file_path").alias("dst")).distinct()
-    hit = cand.join(there, [*keys, "dst"]).where("dst <> src")
+    hit = cand.hint("merge").join(there, [*keys, "dst"]).where("dst <> src")
     return hit.groupBy(*keys, "src", "position").agg(F.min_by("dst", "_n").alias("dst"))
 
 

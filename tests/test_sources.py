@@ -80,6 +80,15 @@ def test_structure(spark):
     assert structure.imports_of("a.go", 'import (\n "fmt"\n "x/y"\n "zzz"\n)') == ["fmt", "x/y"]
 
 
+def test_edges_broadcast_no_estimate(spark, tmp_path):
+    rows = [(f"pkg/m{i}.py", "".join(f"import pkg.m{(i + j) % 50}\n" for j in range(20))) for i in range(50)]
+    spark.createDataFrame(rows, "file_path string, text string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))  # a scan has a size, so that joins with it may be planned as broadcasts
+    e = structure.edges(structure.imports(files, ["file_path"]), files)
+    assert "BroadcastHashJoin" not in (plan := e._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" in plan
+    assert len(e.collect()) == 50 * 19
+
+
 def test_udtf(spark):
     structure.register(spark)
     got = spark.sql("SELECT s.name FROM VALUES ('a.py', 'def f(): pass') AS t(p, x), LATERAL signatures(p, x) s").collect()
