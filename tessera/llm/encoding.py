@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,8 @@ WIDE = ("gbk", "shift_jis", "big5")
 TABLE = 1 << 18  # size of the hashed table of character pairs
 FITTED = 10_000  # pairs a model must have seen before it may call a line garbled
 UNLIKELY, LIKELIER = 10.5, 0.62  # nats a pair beyond which a line without any garbling sign is doubted; part of its nats that a repair may keep
-FIT_DOCS = 20_000  # clean documents the pairs are counted on, about, at most
+HELD = 1 << 20  # slots a task holds until they are counted, about
+NO_SLOTS = np.zeros(0, np.int64)
 
 _LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ"
 _CYR = "Ѐ-ӿ"
@@ -116,13 +117,24 @@ def evidence(text: str) -> float:
 _LIKELY = set("éèàùêâôûçîïüöäßñáíóúãõąęłśżźćńÉÀÇÜÖÄÃÕŁŚŻ’‘“”–—…•«»€°¿¡ ×→µ├─│└")
 
 
+def _pairs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of the text between two blanks, where a pair that holds a character beyond ASCII begins, and the table slots of these pairs."""
+    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    beyond = c > 127
+    at = np.flatnonzero(beyond[:-1] | beyond[1:])
+    h = (c[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (c[at + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return c, at, ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(46)).astype(np.int64)
+
+
 def pair_slots(text: str) -> np.ndarray:
     """Table slots of the neighbouring character pairs that hold a character beyond ASCII."""
-    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    a, b = c[:-1], c[1:]
-    some = (a > 127) | (b > 127)
-    h = (a[some] * np.uint64(0x9E3779B97F4A7C15)) ^ (b[some] * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(46)).astype(np.int64)
+    return _pairs(text)[2]
+
+
+def pair_slots_by_line(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of all lines, and the number of the line of each."""
+    c, at, slots = _pairs(" \n ".join(lines))  # what parts the lines is ASCII and makes no pair
+    return slots, np.searchsorted(np.flatnonzero(c == 10), at)
 
 
 class Model:
@@ -139,24 +151,44 @@ class Model:
         return float(self.cost[pair_slots(text)].sum()) + 0.02 * unlikely  # the second decides where nothing was counted
 
 
-def fit(documents: DataFrame) -> Model:
-    """Counts the pairs of clean documents, of about FIT_DOCS at most; at most TABLE rows reach the driver."""
-    share = min(1.0, FIT_DOCS / max(documents.count(), 1))  # of all documents, so that counting reads no text
-    rows = documents.where(F.col("text").rlike(r"[^\x00-\x7F]")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+def _counted(rows: DataFrame, slots_of: Callable[[str], np.ndarray]) -> np.ndarray:
+    """How often each slot comes up in all texts; at most TABLE rows reach the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(TABLE, np.int64)
+        total, held, n = np.zeros(TABLE, np.int64), [], 0
         for b in batches:
             for t in b["text"]:
-                if looks_clean(t):
-                    total += np.bincount(pair_slots(t), minlength=TABLE)
+                held.append(slots_of(t))
+                n += len(held[-1])
+                if n >= HELD:
+                    total += np.bincount(np.concatenate(held), minlength=TABLE)
+                    held, n = [], 0
+        if n:
+            total += np.bincount(np.concatenate(held), minlength=TABLE)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"slot": at.astype(np.int32), "n": total[at]})
 
     counts = np.zeros(TABLE, np.int64)
-    for r in spread(rows).mapInPandas(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+    for r in rows.mapInPandas(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         counts[r["slot"]] = r["n"]
-    return Model(counts)
+    return counts
+
+
+def fit(documents: DataFrame) -> Model:
+    """Counts the pairs of all clean documents. What looks clean holds some garbled lines too, which would make their likes likelier; so the lines
+    that a model of all of it doubts are taken out again."""
+    rows = spread(documents.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("text"))
+    counts = _counted(rows, lambda t: pair_slots_by_line(t.split("\n"))[0] if looks_clean(t) else NO_SLOTS)
+    model = Model(counts)
+    if not model.fitted:
+        return model
+    shipped = documents.sparkSession.sparkContext.broadcast(model)  # 1 MB
+
+    def doubted(text: str) -> np.ndarray:
+        lines = unlikely_lines(text, shipped.value)
+        return pair_slots_by_line(lines)[0] if lines and looks_clean(text) else NO_SLOTS
+
+    return Model(counts - _counted(rows, doubted))
 
 
 @lru_cache(maxsize=64)
@@ -296,6 +328,17 @@ def unlikely(line: str, model: Model) -> bool:
     return len(n) >= 4 and float(n.mean()) > UNLIKELY
 
 
+def unlikely_lines(text: str, model: Model) -> list[str]:
+    """The lines that are `unlikely`. The pairs of all lines are looked up at once; only lines near the bound are looked at by themselves."""
+    if not model.fitted or text.isascii():
+        return []
+    lines = text.split("\n")
+    slots, line = pair_slots_by_line(lines)
+    n = np.bincount(line, minlength=len(lines))
+    near = (n >= 4) & (np.bincount(line, model.cost[slots], minlength=len(lines)) > (UNLIKELY - 0.01) * n)
+    return [lines[i] for i in np.flatnonzero(near) if unlikely(lines[i], model)]
+
+
 def likelier_swap(line: str, model: Model) -> str | None:
     """The line under another pair of encodings, where that is far likelier as a whole and likely by itself."""
     best, least = None, LIKELIER * model.nats(line)
@@ -323,9 +366,6 @@ def repair_unit(unit: str, model: Model) -> tuple[str, float, float, int]:
 _SENTENCE = re.compile(r"(?<=[.!?…])(\s+)")
 
 
-_BLANK = re.compile(r"[ \t\r\n]+")
-
-
 @lru_cache(maxsize=1 << 17)
 def clean_piece(piece: str) -> bool:
     return cost(piece) == 0
@@ -333,16 +373,21 @@ def clean_piece(piece: str) -> bool:
 
 def looks_clean(text: str) -> bool:
     """What costs anything lies between two blanks, and most such pieces come up again and again."""
-    return not _ENTITY.search(text) and all(clean_piece(p) if len(p) < 64 else cost(p) == 0 for p in set(_BLANK.split(text)) if not p.isascii())
+    if "&" in text and _ENTITY.search(text):
+        return False
+    pieces = set(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+    return all(clean_piece(p) if len(p) < 64 else cost(p) == 0 for p in pieces if not p.isascii())
 
 
 def repair(text: str, model: Model | None = None) -> tuple[bool, str, int, bool]:
     """(garbled, text as far as restored, layers undone, fully restored) of a whole text, line by line, however long its lines are."""
     model = model or Model()
-    doubted = any(unlikely(line, model) for line in text.split("\n"))
+    doubted = bool(unlikely_lines(text, model))
     if not doubted:
+        if looks_clean(text):
+            return False, text, 0, True
         masked = _QUOTED.sub(lambda m: "x" * len(m[0]), text)
-        if looks_clean(text) or not _ASCII_ONLY.search(masked) or cost(masked) == 0:
+        if not _ASCII_ONLY.search(masked) or cost(masked) == 0:
             return False, text, 0, True
     found, layers, full, out = False, 0, True, []
     for line in re.split("(\n)", text):

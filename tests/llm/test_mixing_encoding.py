@@ -142,3 +142,29 @@ def test_garbled_words_in_quotes_are_garbled(text):
 @pytest.mark.parametrize("text", CLEAN + ["resolve({ index: 248, ranking: ’attach stale cache’ });", "`Ã© Ã¼ â€™ Ã±` are the usual signs, `Â ` too"])
 def test_clean_with_a_model(model, text):
     assert encoding.repair(text, model)[0] is False
+
+
+def test_the_model_counts_every_clean_document(spark):
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("é "), "id")).when(F.col("id") % 3 == 1, F.concat(F.lit("Größe\n"), "id", F.lit(" – œuvre"))).when(F.col("id") % 50 == 2, "Ã¼ber die BrÃ¼cke")
+    docs = spark.range(60_000).select(text.alias("text"))
+    assert encoding.cost("Ã¼ber die BrÃ¼cke") > 0
+    slots = encoding.np.concatenate([encoding.pair_slots("é 0"), encoding.pair_slots("Größe\n1 – œuvre")])
+    want = encoding.Model(20_000 * encoding.np.bincount(slots, minlength=encoding.TABLE))
+    assert (encoding.fit(docs).cost == want.cost).all()
+
+
+def test_lines_looked_up_at_once_are_doubted_alike(model):
+    texts = [*CLEAN, "зКСРШЯ ОПХБЕР ЙЮРЮКНЦ", "plain\n\nбЯЕ ОЕПБШЕ ГЮОХЯХ ХМДЕЙЯЮ\né", "\n", "\ud800é\r\nøøøøøø", "日本" * 40_000 + "\nåäåäåä"]
+    texts += [a + "\n" + b for a in texts for b in texts[:-1]]
+    doubted = [[line for line in t.split("\n") if encoding.unlikely(line, model)] for t in texts]
+    assert [encoding.unlikely_lines(t, model) for t in texts] == doubted and 0 < sum(map(bool, doubted)) < len(texts)
+
+
+def test_garbled_lines_that_look_clean_do_not_teach_the_model(spark):
+    bad = "There are ôshallowö entries"
+    assert encoding.looks_clean(bad)
+    clean = F.concat(F.lit("Größe über später, déjà vu à côté "), "id")
+    docs = spark.range(20_000).select(F.when(F.col("id") < 4, bad).otherwise(clean).alias("text"))
+    fitted = encoding.fit(docs)
+    n = encoding.np.bincount(encoding.pair_slots("Größe über später, déjà vu à côté "), minlength=encoding.TABLE)
+    assert (fitted.cost == encoding.Model(19_996 * n).cost).all()
